@@ -20,6 +20,24 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_WARC_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+s AS (SELECT payload_digest, min(page_id) AS first FROM h WHERE payload_bytes >= 100 GROUP BY payload_digest
+      HAVING count(*) > 1 AND min(page_id) IS NOT NULL)
+SELECT page_id, url, payload_bytes, h.payload_digest,
+  CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM h LEFT JOIN s ON h.payload_digest = s.payload_digest
+"""
+
+
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.read(spark, warc.write(_table(spark, sf_dir, "pages")))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import tokenfiles
 
@@ -56,4 +74,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_warc_revisits": _WARC_SQL,
+    }
