@@ -69,6 +69,12 @@ def op9_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_host_suffix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
