@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch: with texts of a few KB, a few MB; memory follows the batch, not the partition.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +38,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def _local(path: str) -> str | None:
