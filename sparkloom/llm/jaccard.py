@@ -167,7 +167,8 @@ def _filter_words(keys: DataFrame, column: str) -> np.ndarray:
     """A Bloom filter of FILTER_BITS bits over the column's hashes, from at most FILTER_BITS / 64 rows."""
     words = FILTER_BITS // 64
     bit = F.explode(F.array(*[F.pmod(F.xxhash64(column, F.lit(k)), F.lit(FILTER_BITS)) for k in range(3)]))
-    rows = keys.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias("bits"))
+    bits = F.expr("bit_or(shiftleft(1L, cast(pmod(bit, 64) as int)))").alias("bits")
+    rows = keys.select(bit.alias("bit")).groupBy(F.expr("cast(bit div 64 as int)").alias("word")).agg(bits)
     out = np.zeros(words, np.int64)
     found = rows.toPandas()
     out[found["word"].to_numpy()] = found["bits"].to_numpy()
