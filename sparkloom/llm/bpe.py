@@ -35,7 +35,7 @@ PIECES = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 )
 _EDGE = regex.compile(rf"^[{WHITE}]|[{WHITE}]$")
-#: Chunks whose encoding a worker keeps; beyond it the dictionary starts anew.
+#: Chunks, and pieces, of a generation of a worker's memory.
 CACHE_CHUNKS = 600_000
 
 
@@ -129,8 +129,11 @@ class Codec:
         self._spines: dict[tuple[int, int], tuple[tuple[int, float], ...]] = {}
         self._fits = _Fits(self.fits)
         self._special = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
+        # two generations each: what is not asked for while a generation fills is forgotten
         self.chunks: dict[str, bytes] = {}
+        self.older_chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
 
     def spine(self, token: int, side: int) -> tuple[tuple[int, float], ...]:
         """The tokens that stand at the token's left (0) or right (1) edge while it is built, each with the rank of
@@ -195,9 +198,11 @@ class Codec:
         for piece in PIECES.findall(text):
             ids = self.pieces.get(piece)
             if ids is None:
-                ids = self.encode_piece(piece.encode()).tobytes()
+                ids = self.older_pieces.get(piece)
+                if ids is None:
+                    ids = self.encode_piece(piece.encode()).tobytes()
                 if len(self.pieces) >= CACHE_CHUNKS:
-                    self.pieces.clear()
+                    self.older_pieces, self.pieces = self.pieces, {}
                 if len(piece) <= 64:
                     self.pieces[piece] = ids
             out.append(ids)
@@ -207,21 +212,23 @@ class Codec:
         """Ids of a text without special tokens. Where single blanks part it into chunks that neither start nor end
         with white space, each blank goes with the chunk after it, so the chunks are independent."""
         first, *rest = text.split(" ")
+        if not first or first[-1] <= " " or _EDGE.search(first[-1]):
+            return self._pieces(text)
         known = self.chunks
         try:
-            return b"".join([self._pieces(first), *map(known.__getitem__, rest)]) if not first or first[-1] > " " else self._pieces(text)
+            return b"".join([self._pieces(first), *map(known.__getitem__, rest)])
         except KeyError:
             pass
-        if (first and _EDGE.search(first[-1])) or (not first and rest):
-            return self._pieces(text)
         fresh = {c for c in rest if c not in known}
         if any(not c or _EDGE.search(c) for c in fresh):
             return self._pieces(text)
         if len(known) + len(fresh) > CACHE_CHUNKS:
-            known.clear()
+            self.older_chunks, self.chunks = known, {}
+            known = self.chunks
             fresh = set(rest)
+        older = self.older_chunks
         for c in fresh:
-            known[c] = self._pieces(" " + c)
+            known[c] = older.get(c) or self._pieces(" " + c)
         return b"".join([self._pieces(first), *map(known.__getitem__, rest)])
 
     def encode(self, text: str) -> np.ndarray:

@@ -39,16 +39,20 @@ LEVEL = 3
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCS = 1_000
 SAMPLE_IDS = 2_048
-#: Chunks of text whose ids a worker keeps; beyond it the dictionary starts anew.
+#: Chunks of text of a generation of a worker's memory.
 CACHE_CHUNKS = 700_000
+# Fixed value: ASCII punctuation that never joins the word before it (an apostrophe may).
+PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Ids shown by a shard at most before it is closed: bounds the memory of writer and reader.
 SHARD_BYTES = 32 << 20
 _INDEX = (("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("ids", "<u4"))
 
 
 class Encoder:
-    """The library's tokenizer with a memory: chunks between blanks or line ends are independent of each other, as the
-    pre-tokenizer parts text at white space and normalisation never crosses it."""
+    """The library's tokenizer with a memory of chunks between blanks or line ends, which are independent of each other:
+    the pre-tokenizer parts text at white space and normalisation never crosses it. It parts a word from punctuation
+    after it too, so the library sees each word once. Texts within Latin-1 are lower-cased first, as the normaliser
+    would. The memory has two generations: what is not asked for while a generation fills is forgotten."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,20 +62,56 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.wide = self.library.get_vocab_size() > 65_535
         self.code = "I" if self.wide else "H"
 
+    @staticmethod
+    def _plain(text: str) -> str:
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                return text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text
+
+    def _learn(self, fresh: list[str]) -> None:
+        known, older = self.known, self.older
+        asked, joined = set(), []
+        for chunk in fresh:
+            ids = older.get(chunk)
+            if ids is not None:
+                known[chunk] = ids
+                continue
+            word = chunk.rstrip(PUNCTUATION)
+            if word is not chunk and word and word[-1].isalnum() and "<|" not in chunk:
+                tail = chunk[len(word) :]
+                joined.append((chunk, word, tail))
+                asked.add(word)
+                asked.add(tail)
+            else:
+                asked.add(chunk)
+        todo = []
+        for part in asked:
+            if part not in known:
+                if part in older:
+                    known[part] = older[part]
+                else:
+                    todo.append(part)
+        for i in range(0, len(todo), 20_000):
+            some = todo[i : i + 20_000]
+            for part, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[part] = array(self.code, e.ids).tobytes()
+        for chunk, word, tail in joined:
+            known[chunk] = known[word] + known[tail]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        parts = [self._plain(t).replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > CACHE_CHUNKS:
+            self.older, self.known = self.known, {}
         known = self.known
-        fresh = list(set().union(*parts).difference(known)) if parts else []
-        if len(known) + len(fresh) > CACHE_CHUNKS:
-            known.clear()
-            fresh = list(set().union(*parts))
-        for i in range(0, len(fresh), 20_000):
-            some = fresh[i : i + 20_000]
-            for chunk, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[chunk] = array(self.code, e.ids).tobytes()
+        self._learn(list(set().union(*parts).difference(known)) if parts else [])
         end = array(self.code, [END_ID]).tobytes()
         return [np.frombuffer(b"".join(map(known.__getitem__, p)) + end, "<u4" if self.wide else "<u2") for p in parts]
 
