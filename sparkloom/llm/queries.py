@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -61,7 +61,7 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import tokenfiles
 
-    manifest = tokenfiles.write(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    manifest = tokenfiles.write(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return tokenfiles.summary(spark, manifest)
 
 
@@ -74,7 +74,7 @@ def op6_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests
 
-    return digests(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return digests(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op8_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
