@@ -1,11 +1,12 @@
 """Exact n-gram Jaccard join with filters under several global token orders.
 
 A document's set is its distinct 5-word shingles, as 64-bit hashes; documents with equal sets are one node. Two sets
-with Jaccard similarity of at least 80/100 share a token among the first ``n - ceil(0.8 n) + 1`` of each, under any
-global order of tokens. The first order puts frequent tokens last (a bounded list of the most frequent, from counts
+with Jaccard similarity of at least 80/100 share l tokens among the first ``n - ceil(0.8 n) + l`` of each, under any
+global order of tokens, for any l up to their overlap; l is DEPTH, or all tokens that must be shared if those are fewer.
+The first order puts frequent tokens last (a bounded list of the most frequent, from counts
 over all documents; any order gives the same result, this one keeps common passages out of the prefixes). Nodes that
-share a prefix token under it, with fitting sizes, are candidates. For each candidate the prefixes under the other
-orders must intersect as well, and only then are the sets compared.
+share so many prefix tokens under it, with fitting sizes, are candidates. For each candidate the prefixes under the
+other orders must intersect as well, and only then are the sets compared.
 
 A group of near copies is not expanded into pairs: within a token's bucket each node is first compared with the
 bucket's smallest node; only nodes that are still in different components after that are compared with each other.
@@ -33,6 +34,10 @@ WIDTH = 5
 PERCENT = 80
 #: Orders beside the first; each is a hash with its own salt.
 OTHER_ORDERS = (2, 3)
+#: Tokens that the prefixes of a candidate share.
+DEPTH = 5
+#: Nodes compared with one node in a task, about; a node compared with more is sent to several tasks.
+STAR_NODES = 400
 #: Tokens at most that the first order puts last, by their counts.
 FREQUENT_TOKENS = 1 << 16
 #: A task reports tokens that so many of its documents share, per so many tokens read.
@@ -61,8 +66,9 @@ def node_of(s: np.ndarray) -> int | None:
     return int(K.mix(s, 5).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+def prefix_length(n: int, depth: int = 1) -> int:
+    least = -(-PERCENT * n // 100)
+    return n - least + min(depth, least)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -141,7 +147,7 @@ class FirstOrder:
             frequent = self.tokens[at] == s
             late = np.minimum(self.counts[at[frequent]], np.uint64((1 << 30) - 1))
             key[frequent] = np.uint64(1 << 63) | (late << np.uint64(32)) | (key[frequent] >> np.uint64(32))
-        first = np.argsort(key)[: prefix_length(len(s))]
+        first = np.argsort(key)[: prefix_length(len(s), DEPTH)]
         return s[first], frequent[first]
 
 
@@ -163,6 +169,11 @@ def _fits(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def _depth(a: str, b: str):
+    """Prefix tokens that two nodes of these sizes share at least if they are similar."""
+    return F.least(F.lit(DEPTH), F.ceil(F.least(a, b) * PERCENT / 100))
+
+
 def _filter_words(keys: DataFrame, column: str) -> np.ndarray:
     """A Bloom filter of FILTER_BITS bits over the column's hashes, from at most FILTER_BITS / 64 rows."""
     words = FILTER_BITS // 64
@@ -215,56 +226,69 @@ class Join:
         return self.docs.mapInArrow(run, "token long, node long, n long, frequent boolean")
 
     def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are similar. ``nodes``: (node, doc_id) of one document of each node."""
-        wanted = settle(nodes.join(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"), "node"), "wanted")
+        """The pairs (a, b) whose sets are similar. ``nodes``: (node, doc_id) of one document of each node.
+
+        Sets are built for the documents that a filter of fixed size lets through, go to the nodes' places once, and
+        from there to the places of the nodes that they are compared with, where each ``a`` meets its ``b``s in turn."""
+        stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_NODES).cast("int").alias("salts"))
+        center = stars.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("turn"))
+        member = pairs.join(stars, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("turn"))
+        places = settle(center.union(member), "places")
+        wanted = nodes.join(places.select("node").distinct(), "node").select("doc_id")
         bits = self.spark.sparkContext.broadcast(_filter_words(wanted, "doc_id"))
         hashes = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(FILTER_BITS)).cast("int").alias(f"h{k}") for k in range(3)]
 
-        def run(batches):
-            words = bits.value
+        def build(batches):
+            words, seen = bits.value, set()
             for batch in batches:
                 hit = np.ones(len(batch), bool)
                 for k in range(3):
-                    at = batch.column(2 + k).to_numpy()
+                    at = batch.column(1 + k).to_numpy()
                     hit &= (words[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1
-                some = batch.filter(pa.array(hit))
-                for part, sets in _sets([some]):
-                    nodes = pa.array([node_of(s) for s in sets], pa.int64())
-                    yield pa.RecordBatch.from_arrays([part.column(0), nodes, pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "members"])
-
-        sets = self.docs.select("doc_id", "text", *hashes).mapInArrow(run, "doc_id long, node long, members binary")
-        same = wanted.select(F.col("node").alias("w"), F.col("doc_id").alias("d"))
-        sets = settle(sets.join(same, (F.col("node") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").select("node", "members"), "sets")
-        right = sets.select(F.col("node").alias("b"), F.col("members").alias("sb"))
-        left = sets.select(F.col("node").alias("a"), F.col("members").alias("sa"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
+                for _, sets in _sets([batch.filter(pa.array(hit))], 0):
+                    rows = {node: s for s in sets if (node := node_of(s)) is not None and node not in seen}
+                    seen.update(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([s.tobytes() for s in rows.values()], pa.binary())], names=["node", "members"])
+
+        sets = self.docs.select("text", *hashes).mapInArrow(build, "node long, members binary")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        met = sets.join(places, "node").select("a", "salt", "turn", "node", "members")
+        met = met.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "turn")
 
         def check(batches):
+            key, own = None, None
             for batch in batches:
-                sa, sb = batch.column(2), batch.column(3)
-                view = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
-                good = [similar(view(x), view(y)) for x, y in zip(sa, sb, strict=True)]
-                yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+                good = []
+                for a, salt, turn, node, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if turn == 0:
+                        key, own = (a, salt), np.frombuffer(members, np.uint64)
+                    elif (a, salt) == key and similar(own, np.frombuffer(members, np.uint64)):
+                        good.append((a, node))
+                yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in range(2)], names=["a", "b"])
 
-        return settle(both.mapInArrow(check, "a long, b long"), "links")
+        return settle(met.mapInArrow(check, "a long, b long").distinct(), "links")
 
     def run(self) -> DataFrame:
         members = self.members()
         docs = members.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node")
         nodes = settle(docs.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
         buckets = settle(_buckets(self.tokens(members)), "buckets")
-        stars = settle(buckets.filter("node <> pivot").filter(_fits("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+        # first, the nodes that share enough with their bucket's pivot: few pairs, which join most of a group
+        pair = [F.col("pivot").alias("a"), F.col("node").alias("b")]
+        stars = buckets.filter("node <> pivot").filter(_fits("n", "pivot_n")).groupBy(*pair).agg(F.count("*").alias("shared"), F.min(_depth("n", "pivot_n")).alias("depth"))
+        stars = settle(stars.filter("shared >= depth").select("a", "b"), "stars")
         links = self.verified(stars, nodes)
         roots = settle(components(links), "roots")
-        # pairs that share a token and are not in one component yet
-        labels = roots.select("node", "root")
-        rest = buckets.select("token", "node", "n").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # then all pairs of nodes that share enough and are not in one component yet
+        rest = buckets.select("token", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = rest.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
         rest = settle(rest.join(mixed, "token"), "mixed-buckets")
         x, y = rest.alias("x"), rest.alias("y")
         cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & _fits("x.n", "y.n"))
-        cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        cross = settle(cross.join(stars, ["a", "b"], "left_anti"), "cross-pairs")
+        cross = cross.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(
+            F.count("*").alias("shared"), F.min(_depth("x.n", "y.n")).alias("depth")
+        )
+        cross = settle(cross.filter("shared >= depth").select("a", "b").join(stars, ["a", "b"], "left_anti"), "cross-pairs")
         if not cross.isEmpty():
             roots = settle(components(links.union(self.verified(cross, nodes))), "roots")
         joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
