@@ -76,42 +76,43 @@ class Encoder:
                 pass
         return text
 
-    def _learn(self, fresh: list[str]) -> None:
-        known, older = self.known, self.older
-        asked, joined = set(), []
+    def _learn(self, fresh: set[str]) -> None:
+        known, older, get = self.known, self.older, self.known.get
+        todo, later = set(), []
         for chunk in fresh:
-            ids = older.get(chunk)
-            if ids is not None:
+            if older and (ids := older.get(chunk)) is not None:
                 known[chunk] = ids
                 continue
             word = chunk.rstrip(PUNCTUATION)
-            if word is not chunk and word and word[-1].isalnum() and "<|" not in chunk:
-                tail = chunk[len(word) :]
-                joined.append((chunk, word, tail))
-                asked.add(word)
-                asked.add(tail)
+            n = len(word)
+            if n == len(chunk) or not n or not word[-1].isalnum() or "|>" in chunk:
+                todo.add(chunk)
+                continue
+            tail = chunk[n:]
+            a, b = get(word), get(tail)
+            if a is not None and b is not None:
+                known[chunk] = a + b
             else:
-                asked.add(chunk)
-        todo = []
-        for part in asked:
-            if part not in known:
-                if part in older:
-                    known[part] = older[part]
-                else:
-                    todo.append(part)
+                later.append(chunk)
+                todo.update((word, tail))
+        todo = [part for part in todo if part not in known]
+        if older:
+            known.update((part, older[part]) for part in todo if part in older)
+            todo = [part for part in todo if part not in known]
         for i in range(0, len(todo), 20_000):
             some = todo[i : i + 20_000]
             for part, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[part] = array(self.code, e.ids).tobytes()
-        for chunk, word, tail in joined:
-            known[chunk] = known[word] + known[tail]
+        for chunk in later:
+            word = chunk.rstrip(PUNCTUATION)
+            known[chunk] = known[word] + known[chunk[len(word) :]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [self._plain(t).replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_CHUNKS:
             self.older, self.known = self.known, {}
         known = self.known
-        self._learn(list(set().union(*parts).difference(known)) if parts else [])
+        self._learn(set().union(*parts).difference(known))
         end = array(self.code, [END_ID]).tobytes()
         return [np.frombuffer(b"".join(map(known.__getitem__, p)) + end, "<u4" if self.wide else "<u2") for p in parts]
 
@@ -191,8 +192,8 @@ def write(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = K.strings(batch.column(1)).to_pylist()
-            for k in range(0, len(ids), 250):
-                for key, row in zip(ids[k : k + 250], own.encode(texts[k : k + 250]), strict=True):
+            for k in range(0, len(ids), 500):
+                for key, row in zip(ids[k : k + 500], own.encode(texts[k : k + 500]), strict=True):
                     frame = press.compress(row.tobytes())
                     entries.append((key or 0, key is None, at, len(frame), len(row)))
                     frames.append(frame)
