@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,9 +58,36 @@ def _q1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def views(spark: SparkSession, sf_dir: str, text: str) -> None:
+    """Temporary views of the tables that a statement names."""
+    for name in TABLES:
+        if re.search(rf"\b{name}\b", text):
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def sql(name: str, text: str, oracle: str | None = None) -> None:
+    """Enter a query by its Spark SQL; ``oracle`` is given where DuckDB's text differs."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views(spark, sf_dir, text)
+        return spark.sql(text)
+
+    run.__name__ = name
+    register(name, oracle or text)(run)
+
+
+def _load() -> None:
+    from . import analytics, relational, scalar, search, temporal, versioned  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
