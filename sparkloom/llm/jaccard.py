@@ -3,13 +3,14 @@
 A document's set is its distinct 5-word shingles, as 64-bit hashes; documents with equal sets are one node. Two sets
 with Jaccard similarity of at least 80/100 share l tokens among the first ``n - ceil(0.8 n) + l`` of each, under any
 global order of tokens, for any l up to their overlap; l is DEPTH, or all tokens that must be shared if those are fewer.
-The first order puts frequent tokens last (a bounded list of the most frequent, from counts
-over all documents; any order gives the same result, this one keeps common passages out of the prefixes). Nodes that
+The first order puts frequent tokens last, by counts over all documents in a table of COUNTERS counters; any order
+gives the same result, this one keeps common passages out of the prefixes. Nodes that
 share so many prefix tokens under it, with fitting sizes, are candidates. For each candidate the prefixes under the
 other orders must intersect as well, and only then are the sets compared.
 
-A group of near copies is not expanded into pairs: within a token's bucket each node is first compared with the
-bucket's smallest node; only nodes that are still in different components after that are compared with each other.
+A group of near copies is not expanded into pairs: each node is first compared with one node of those that are the
+smallest of a bucket with it, and with one of the largest; only nodes that are still in different components after
+that are compared with each other.
 So every link either is found or lies within a component, and components are exact. Texts are read three times and
 never shuffled; prefixes are shuffled by token, sets only for nodes that are candidates.
 
@@ -29,6 +30,7 @@ from pyspark.sql.window import Window
 from . import textkernel as K
 from .common import settle, small_batches
 from .components import components
+from .decontaminate import add_up
 
 WIDTH = 5
 PERCENT = 80
@@ -38,10 +40,9 @@ OTHER_ORDERS = (2, 3)
 DEPTH = 5
 #: Nodes compared with one node in a task, about; a node compared with more is sent to several tasks.
 STAR_NODES = 400
-#: Tokens at most that the first order puts last, by their counts.
-FREQUENT_TOKENS = 1 << 16
-#: A task reports tokens that so many of its documents share, per so many tokens read.
-REPORT_COUNT, REPORT_TOKENS = 4, 2_000_000
+#: Counters of the table of token counts; a token is frequent if its counter is so many deviations above the mean.
+COUNTERS = 1 << 20
+FREQUENT_DEVIATIONS = 6.0
 #: Bits of the filter of candidate documents; more candidates make it pass more, never fewer.
 FILTER_BITS = 1 << 24
 
@@ -95,74 +96,64 @@ def _sets(batches, at: int = 1):
             yield batch.slice(i, j - i), shingle_sets(data, offsets)
 
 
+def _counter(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1)
+
+
 def _members(batches):
-    """kind 0: (doc_id, n, node) of each document; kind 1: (count, token) of tokens that many documents share."""
+    """kind 0: (doc_id, n, node) of each document; kind 1: a task's table of counts of its nodes' tokens."""
     seen: set[int] = set()
-    held: list[np.ndarray] = []
-    size = 0
-
-    def report():
-        tokens = np.sort(np.concatenate([*held, np.zeros(0, np.uint64)]))
-        edges = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]])) if len(tokens) else np.zeros(1, np.int64)
-        counts = np.diff(edges)
-        many = np.flatnonzero(counts >= REPORT_COUNT)
-        if len(many) > FREQUENT_TOKENS:
-            many = many[np.argsort(-counts[many], kind="stable")[:FREQUENT_TOKENS]]
-        if len(many):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(many), np.int32)), pa.nulls(len(many), pa.int64()), pa.array(counts[many]), pa.array(tokens[edges[many]].astype(np.int64))],
-                names=["kind", "doc_id", "n", "node"],
-            )
-
+    counts = np.zeros(COUNTERS, np.int64)
     for batch, sets in _sets(batches):
         nodes = [node_of(s) for s in sets]
+        fresh = []
         for s, node in zip(sets, nodes, strict=True):
             if node is not None and node not in seen:
                 seen.add(node)
-                held.append(s)
-                size += len(s)
+                fresh.append(s)
+        if fresh:
+            np.add.at(counts, _counter(np.concatenate(fresh)), 1)
+        rows = len(sets)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(sets), np.int32)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())],
-            names=["kind", "doc_id", "n", "node"],
+            [pa.array(np.zeros(rows, np.int32)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(rows, pa.binary())],
+            names=["kind", "doc_id", "n", "node", "counts"],
         )
-        if size >= REPORT_TOKENS:
-            yield from report()
-            held, size = [], 0
-    yield from report()
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([1], pa.int32()), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([counts.astype("<u4").tobytes()], pa.binary())], names=["kind", "doc_id", "n", "node", "counts"]
+    )
 
 
 class FirstOrder:
     """Tokens in the order that puts frequent ones last, the most frequent at the very end."""
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        order = np.argsort(tokens)
-        self.tokens, self.counts = tokens[order], counts[order].astype(np.uint64)
+    def __init__(self, counts: np.ndarray):
+        mean = float(counts.mean())
+        self.counts = counts.astype(np.uint32)
+        self.frequent = mean + FREQUENT_DEVIATIONS * mean**0.5 + 2
 
     def prefix(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of the set's prefix, and which of them are frequent."""
         key = K.mix(s, 1) >> np.uint64(1)
-        frequent = np.zeros(len(s), bool)
-        if len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
-            frequent = self.tokens[at] == s
-            late = np.minimum(self.counts[at[frequent]], np.uint64((1 << 30) - 1))
-            key[frequent] = np.uint64(1 << 63) | (late << np.uint64(32)) | (key[frequent] >> np.uint64(32))
-        first = np.argsort(key)[: prefix_length(len(s), DEPTH)]
+        counts = self.counts[_counter(s)]
+        frequent = counts > self.frequent
+        late = np.minimum(counts[frequent], np.uint32((1 << 30) - 1)).astype(np.uint64)
+        key[frequent] = np.uint64(1 << 63) | (late << np.uint64(32)) | (key[frequent] >> np.uint64(32))
+        size = prefix_length(len(s), DEPTH)
+        first = np.argpartition(key, size - 1)[:size]
         return s[first], frequent[first]
 
 
 def _buckets(tokens: DataFrame) -> DataFrame:
-    """(token, node, n, pivot, pivot_n) of the tokens that distinct nodes share. Frequent tokens are few and their
-    buckets large, so they are aggregated before the shuffle and their pivots broadcast, at most FREQUENT_TOKENS;
-    the buckets of other tokens are sorted by token."""
-    first, last = F.min(F.struct("node", "n")), F.max("node")
+    """(token, node, n, low, high) of the tokens that distinct nodes share; low and high are the bucket's smallest and
+    largest node with their sizes. Buckets of frequent tokens may be large, so they are aggregated before the shuffle;
+    those of other tokens are sorted by token."""
+    low, high = F.min(F.struct("node", "n")), F.max(F.struct("node", "n"))
     w = Window.partitionBy("token")
-    rare = tokens.filter("not frequent").withColumns({"p": first.over(w), "last": last.over(w)})
+    rare = tokens.filter("not frequent").withColumns({"low": low.over(w), "high": high.over(w)})
     common = tokens.filter("frequent")
-    pivots = common.groupBy("token").agg(first.alias("p"), last.alias("last"))
-    common = common.join(F.broadcast(pivots), "token")
-    columns = ["token", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")]
-    return rare.filter("p.node <> last").select(*columns).union(common.filter("p.node <> last").select(*columns))
+    common = common.join(common.groupBy("token").agg(low.alias("low"), high.alias("high")), "token")
+    columns = ["token", "node", "n", "low", "high"]
+    return rare.select(*columns).union(common.select(*columns)).filter("low.node <> high.node")
 
 
 def _fits(a: str, b: str):
@@ -195,12 +186,11 @@ class Join:
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def members(self) -> DataFrame:
-        return settle(self.docs.mapInArrow(_members, "kind int, doc_id long, n long, node long"), "members")
+        return settle(self.docs.mapInArrow(_members, "kind int, doc_id long, n long, node long, counts binary"), "members")
 
     def tokens(self, members: DataFrame) -> DataFrame:
-        counts = members.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n"))
-        top = counts.orderBy(F.desc("n"), "node").limit(FREQUENT_TOKENS).toPandas()
-        shared = self.spark.sparkContext.broadcast(FirstOrder(top["node"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)))
+        counts = add_up(members.filter("kind = 1").select("counts"), (COUNTERS,), "<u4")
+        shared = self.spark.sparkContext.broadcast(FirstOrder(counts))
 
         def run(batches):
             order, seen = shared.value, set()
@@ -273,10 +263,15 @@ class Join:
         docs = members.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node")
         nodes = settle(docs.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
         buckets = settle(_buckets(self.tokens(members)), "buckets")
-        # first, the nodes that share enough with their bucket's pivot: few pairs, which join most of a group
-        pair = [F.col("pivot").alias("a"), F.col("node").alias("b")]
-        stars = buckets.filter("node <> pivot").filter(_fits("n", "pivot_n")).groupBy(*pair).agg(F.count("*").alias("shared"), F.min(_depth("n", "pivot_n")).alias("depth"))
-        stars = settle(stars.filter("shared >= depth").select("a", "b"), "stars")
+        # first, each node with one of the smallest and one of the largest nodes of its buckets that it shares enough
+        # with: few pairs, which join most of a group
+        ends = [
+            buckets.filter(F.col("node") != F.col(f"{e}.node")).filter(_fits("n", f"{e}.n")).groupBy("node", F.col(f"{e}.node").alias("end"))
+            .agg(F.count("*").alias("shared"), F.min(_depth("n", f"{e}.n")).alias("depth")).filter("shared >= depth")
+            .groupBy("node").agg(pick("end").alias("end"))
+            for e, pick in (("low", F.min), ("high", F.max))
+        ]
+        stars = settle(ends[0].union(ends[1]).select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct(), "stars")
         links = self.verified(stars, nodes)
         roots = settle(components(links), "roots")
         # then all pairs of nodes that share enough and are not in one component yet
