@@ -1 +1,157 @@
-"""Queries."""
+"""Scalar functions over the tables, by family."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import functions as F
+
+from ..functions import bits, domain, numeric, text
+from .catalog import register, sql, table
+
+# ---- core functions with one text for both engines
+
+sql("core_strings", """SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, length(c_name) AS n, octet_length(c_name) AS o, trim('  x ') AS t,
+  ltrim(' a') AS lt, rtrim('a ') AS rt, replace(c_mktsegment, 'I', '1') AS r, substring(c_name, 3, 4) AS s, reverse(c_mktsegment) AS rev, lpad(c_mktsegment, 12, '*') AS lp FROM customer""",
+  """SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, length(c_name) AS n, strlen(c_name) AS o, trim('  x ') AS t,
+  ltrim(' a') AS lt, rtrim('a ') AS rt, replace(c_mktsegment, 'I', '1') AS r, substring(c_name, 3, 4) AS s, reverse(c_mktsegment) AS rev, lpad(c_mktsegment, 12, '*') AS lp FROM customer""")
+sql("core_numbers", """SELECT o_orderkey, abs(-o_totalprice) AS a, CAST(ceil(o_totalprice) AS double) AS c, CAST(floor(o_totalprice) AS double) AS f, round(o_totalprice, 1) AS r,
+  sign(o_totalprice) * floor(abs(o_totalprice) * 10) / 10 AS tr, greatest(o_orderkey, o_custkey, NULL) AS g, least(o_orderkey, o_custkey) AS l FROM orders""")
+sql("core_nulls", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'O'), 'none') AS c, nullif(o_custkey, 10) AS n FROM orders")
+sql("core_extract", """SELECT event_id, extract(year FROM ts) AS y, extract(month FROM ts) AS m, extract(day FROM ts) AS d, extract(hour FROM ts) AS h, extract(minute FROM ts) AS mi,
+  CAST(floor(extract(second FROM ts)) AS bigint) AS s, extract(quarter FROM ts) AS q, extract(week FROM ts) AS w, extract(doy FROM ts) AS doy, dayofweek(ts) - 1 AS dow,
+  CAST(floor(extract(year FROM ts) / 10) AS bigint) AS decade, CAST(floor((extract(year FROM ts) + 99) / 100) AS bigint) AS century FROM events""",
+  """SELECT event_id, extract(year FROM ts) AS y, extract(month FROM ts) AS m, extract(day FROM ts) AS d, extract(hour FROM ts) AS h, extract(minute FROM ts) AS mi,
+  extract(second FROM ts) AS s, extract(quarter FROM ts) AS q, extract(week FROM ts) AS w, extract(doy FROM ts) AS doy, extract(dow FROM ts) AS dow,
+  extract(decade FROM ts) AS decade, extract(century FROM ts) AS century FROM events""")
+sql("core_date_trunc", "SELECT event_id, " + ", ".join(f"CAST(date_trunc('{u}', ts) AS timestamp) AS t_{u}" for u in ("second", "minute", "hour", "day", "week", "month", "quarter", "year")) + " FROM events")
+sql("core_vectors", """SELECT vec_id, round(aggregate(zip_with(embedding, embedding, (x, y) -> CAST(x AS double) * y), 0D, (s, x) -> s + x), 3) AS dot FROM embeddings""",
+    "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)), 3) AS dot FROM embeddings")
+
+
+def _one(name: str, source: str, columns: Callable[[], dict], oracle: str | None, key: str | None = None):
+    """A query that selects named expressions of a table; they are built when it runs, as they need a session."""
+
+    def run(spark, sf_dir):
+        df = table(spark, sf_dir, source)
+        return df.select(*([key] if key else []), *[c.alias(n) for n, c in columns().items()])
+
+    run.__name__ = name
+    register(name, oracle)(run)
+
+
+c = F.col
+_one("core_concat_substring", "customer", lambda: {"joined": text.concat_skip(c("c_name"), F.nullif(c("c_mktsegment"), F.lit("BUILDING")), c("c_nationkey")), "early": text.substring_overlap(c("c_name"), -1, 5), "mid": text.substring_overlap(c("c_name"), 2)},
+     "SELECT c_custkey, concat(c_name, nullif(c_mktsegment, 'BUILDING'), c_nationkey) AS joined, substring(c_name, 1, 3) AS early, substring(c_name, 2) AS mid FROM customer", "c_custkey")
+_one("core_time_bucket", "events", lambda: {"b": domain.time_bucket(900, c("ts"))}, "SELECT event_id, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS b FROM events", "event_id")
+_one("bitfields", "part", lambda: {
+    "s": bits.bitfield_set(c("p_partkey"), 5), "cl": bits.bitfield_clear(c("p_partkey"), 1), "tg": bits.bitfield_toggle(c("p_partkey"), 3), "te": bits.bitfield_test(c("p_partkey"), 2),
+    "n": bits.bitfield_count(c("p_partkey")), "al": bits.bitfield_all(c("p_partkey"), F.lit(5)), "an": bits.bitfield_any(c("p_partkey"), F.lit(5)), "nt": bits.bitfield_not(c("p_partkey")),
+    "x": bits.bitfield_xor(c("p_partkey"), c("p_size").cast("long")), "ps": F.array_join(bits.bitfield_to_positions(c("p_partkey")).cast("array<string>"), ","), "back": bits.bitfield_from_positions(bits.bitfield_to_positions(c("p_partkey"))),
+}, """SELECT p_partkey, p_partkey | 32 AS s, p_partkey & ~2 AS cl, xor(p_partkey, 8) AS tg, (p_partkey & 4) <> 0 AS te, bit_count(p_partkey) AS n, (p_partkey & 5) = 5 AS al, (p_partkey & 5) <> 0 AS an,
+  ~p_partkey AS nt, xor(p_partkey, p_size::BIGINT) AS x, array_to_string(list_filter(range(0, 63), lambda i: (p_partkey >> i) & 1 = 1), ',') AS ps, p_partkey AS back FROM part""", "p_partkey")
+_one("digests", "customer", lambda: {"s256": F.lower(F.hex(bits.sha256(c("c_name")))), "m": F.md5("c_name"), "hx": bits.hex_encode(c("c_name")), "unhx": bits.hex_decode(bits.hex_encode(c("c_name"))).cast("string"),
+     "b64": bits.base64url_encode(c("c_name")), "unb64": bits.base64url_decode(bits.base64url_encode(c("c_name"))).cast("string")},
+     """SELECT c_custkey, sha256(c_name) AS s256, md5(c_name) AS m, lower(hex(c_name)) AS hx, c_name AS unhx, rtrim(replace(replace(to_base64(c_name::BLOB), '+', '-'), '/', '_'), '=') AS b64, c_name AS unb64 FROM customer""", "c_custkey")
+_one("checksums", "customer", lambda: {"crc": bits.crc32(c("c_name")), "castagnoli": bits.crc32c(c("c_name")), "adler": bits.adler32(c("c_name")), "fnv": bits.fnv1a_64(c("c_name")), "xx64": bits.xxhash64(c("c_name")), "xx32": bits.xxhash32(c("c_name")), "sip": bits.siphash(c("c_name")), "mur": bits.murmur3_32(c("c_name"), 0)}, None, "c_custkey")
+_one("encodings_round_trip", "customer", lambda: {"b58": bits.base58_decode(bits.base58_encode(c("c_name"))).cast("string"), "b32": bits.base32_decode(bits.base32_encode(c("c_name"))).cast("string")},
+     "SELECT c_custkey, c_name AS b58, c_name AS b32 FROM customer", "c_custkey")
+_rgb = lambda: bits.color_from_rgb(c("p_size") * 5, c("p_size"), F.lit(7))
+_one("colours", "part", lambda: {"rgba": _rgb(), "hx": bits.color_to_hex(_rgb()), "back": bits.color_from_hex(bits.color_to_hex(_rgb())), "ratio": F.round(bits.wcag_contrast_ratio(F.lit(0xFFFFFFFF), F.lit(255)), 6)},
+     """SELECT p_partkey, (p_size * 5)::BIGINT * 16777216 + p_size::BIGINT * 65536 + 7 * 256 + 255 AS rgba, '#' || lower(printf('%02x%02x%02x', p_size * 5, p_size, 7)) AS hx,
+     (p_size * 5)::BIGINT * 16777216 + p_size::BIGINT * 65536 + 7 * 256 + 255 AS back, 21.0::DOUBLE AS ratio FROM part""", "p_partkey")
+_one("set_similarity", "part", lambda: {"j": F.round(text.jaccard_similarity(bits.shingle(c("p_name"), 2), bits.shingle(c("p_type"), 2)), 6), "d": F.round(text.sorensen_dice(bits.shingle(c("p_name"), 2), bits.shingle(c("p_type"), 2)), 6)},
+     """WITH s AS (SELECT p_partkey, list_distinct(list_transform(range(1, length(p_name)), lambda i: substring(p_name, i::INT, 2))) AS a, list_distinct(list_transform(range(1, length(p_type)), lambda i: substring(p_type, i::INT, 2))) AS b FROM part),
+     n AS (SELECT p_partkey, len(list_intersect(a, b)) AS k, len(a) AS x, len(b) AS y FROM s)
+     SELECT p_partkey, round(CASE WHEN x + y = 0 THEN 1 ELSE k / (x + y - k)::DOUBLE END, 6) AS j, round(CASE WHEN x + y = 0 THEN 1 ELSE 2 * k / (x + y)::DOUBLE END, 6) AS d FROM n""", "p_partkey")
+_one("fuzzy_distances", "part", lambda: {"lev": F.levenshtein("p_name", "p_type"), "sim": F.round(text.levenshtein_similarity(c("p_name"), c("p_type")), 6), "osa": text.damerau_levenshtein(c("p_name"), c("p_type")), "jaro": F.round(text.jaro_similarity(c("p_name"), c("p_type")), 6),
+     "jw": F.round(text.jaro_winkler(c("p_type"), F.concat(c("p_type"), F.lit("X"))), 6)},
+     """SELECT p_partkey, levenshtein(p_name, p_type) AS lev, round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type))::DOUBLE, 6) AS sim, damerau_levenshtein(p_name, p_type) AS osa,
+     round(jaro_similarity(p_name, p_type), 6) AS jaro, round(jaro_winkler_similarity(p_type, p_type || 'X'), 6) AS jw FROM part""", "p_partkey")
+_phrase = lambda: F.concat(c("p_type"), F.lit(" part-no_"), c("p_partkey"))
+_one("string_cases", "part", lambda: {"snake": text.snake_case(_phrase()), "kebab": text.kebab_case(_phrase()), "pascal": text.pascal_case(_phrase()), "camel": text.camel_case(_phrase()), "slug": text.slug(_phrase())},
+     """SELECT p_partkey, lower(p_type) || '_part_no_' || p_partkey AS snake, lower(p_type) || '-part-no-' || p_partkey AS kebab, upper(p_type[1]) || lower(p_type[2:]) || 'PartNo' || p_partkey AS pascal,
+     lower(p_type) || 'PartNo' || p_partkey AS camel, lower(p_type) || '-part-no-' || p_partkey AS slug FROM part""", "p_partkey")
+_one("truncation_formatting", "part", lambda: {"chars": text.truncate_chars(c("p_name"), 5), "ordinal": text.format_ordinal(c("p_partkey")), "bytes": text.format_bytes(F.least(c("p_partkey"), F.lit(1000)) * 1024), "percent": text.format_percentage(c("p_size") / 100.0, 1)},
+     """SELECT p_partkey, CASE WHEN length(p_name) <= 5 THEN p_name ELSE left(p_name, 5) || '...' END AS chars,
+     p_partkey || CASE WHEN p_partkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN p_partkey % 10 = 1 THEN 'st' WHEN p_partkey % 10 = 2 THEN 'nd' WHEN p_partkey % 10 = 3 THEN 'rd' ELSE 'th' END AS ordinal,
+     CASE WHEN p_partkey > 0 THEN printf('%.2f KB', least(p_partkey, 1000)::DOUBLE) ELSE '0 B' END AS bytes,
+     printf('%.1f%%', p_size / 100.0::DOUBLE * 100) AS percent FROM part""", "p_partkey")
+_one("validators", "documents", lambda: {
+    "email": text.validate_email(F.concat(c("source"), F.lit("@"), c("lang"), F.when(c("doc_id") % 2 == 0, ".com").otherwise(""))), "url": text.validate_url(F.concat(F.when(c("doc_id") % 3 == 0, "http").otherwise("http://"), c("source"))),
+    "uuid": text.validate_uuid(F.regexp_replace(F.md5("source"), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")), "card": text.validate_credit_card(F.concat(F.lit("411111111111111"), c("doc_id") % 10)), "ssn": text.validate_ssn(F.concat(F.lit("123-45-"), F.lpad(c("doc_id") % 10000, 4, "0"))), "swift": text.validate_swift(F.concat(F.upper("lang"), F.lit("UTDEFF"))),
+    "isbn": text.validate_isbn(F.concat(F.lit("978030640615"), c("doc_id") % 10)), "issn": text.validate_issn(F.concat(F.lit("0378-595"), c("doc_id") % 10)), "iban": text.validate_iban(F.lit("GB82 WEST 1234 5698 7654 32")), "json": text.validate_json(F.concat(F.lit("{\"a\":"), c("doc_id"), F.when(c("doc_id") % 2 == 0, "}").otherwise(""))),
+}, """SELECT doc_id, doc_id % 2 = 0 AS email, doc_id % 3 <> 0 AS url, true AS uuid, doc_id % 10 = 1 AS card, doc_id % 10000 <> 0 AS ssn, true AS swift, doc_id % 10 = 7 AS isbn, doc_id % 10 = 5 AS issn, true AS iban, doc_id % 2 = 0 AS json FROM documents""", "doc_id")
+_one("regexes", "documents", lambda: {"n": text.regex_count(c("text"), "[aeiou]+"), "first": text.regex_replace(c("text"), "[A-Z]", "_"), "all": F.md5(text.regex_replace_all(c("text"), "[^a-z]+", "-")), "found": F.size(text.regex_find_all(c("text"), "th[a-z]*")), "m": text.regex_match(c("text"), "the +of")},
+     """SELECT doc_id, len(regexp_extract_all(text, '[aeiou]+')) AS n, regexp_replace(text, '[A-Z]', '_') AS "first", md5(regexp_replace(text, '[^a-z]+', '-', 'g')) AS "all", len(regexp_extract_all(text, 'th[a-z]*')) AS found, regexp_matches(text, 'the +of') AS m FROM documents""", "doc_id")
+_one("extraction", "documents", lambda: {"emails": F.size(text.extract_emails(c("text"))), "urls": F.size(text.extract_urls(c("text")))},
+     r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS emails, len(regexp_extract_all(text, 'https?://[^\s<>"'')\]]+')) AS urls FROM documents""", "doc_id")
+_one("html_strip", "pages", lambda: {"n": F.length(text.strip_html(c("html")))}, "SELECT page_id, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS n FROM pages", "page_id")
+_one("urls", "pages", lambda: {"scheme": domain.url_scheme(c("url")), "host": domain.url_host(c("url")), "path": domain.url_path(c("url")), "tld": domain.url_tld(c("url")), "domain": domain.url_domain(c("url")), "ab": domain.url_is_absolute(c("url")), "page": domain.url_query_param(c("url"), "page"), "frag": domain.url_fragment(c("url"))},
+     r"""SELECT page_id, lower(regexp_extract(url, '^([a-z]+):', 1)) AS scheme, lower(regexp_extract(url, '//([^/?#]*)', 1)) AS host, regexp_extract(url, '//[^/?#]*([^?#]*)', 1) AS path, lower(regexp_extract(url, '//[^/?#]*\.([a-z]+)(?:[/?#]|$)', 1)) AS tld,
+     lower(regexp_extract(url, '//(?:[^/?#]*\.)?([^./?#]+\.[^./?#]+)(?:[/?#]|$)', 1)) AS domain, true AS ab, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page, nullif(regexp_extract(url, '#(.*)$', 1), '') AS frag FROM pages""", "page_id")
+_ip = lambda: F.concat_ws(".", c("p_partkey") % 256, c("p_size"), F.lit(0), F.lit(1))
+_one("networks", "part", lambda: {"num": domain.ipv4_number(_ip()), "net": domain.inet_network(F.concat(_ip(), F.lit("/16"))), "private": domain.inet_is_private(F.concat(F.lit("10.1.2."), c("p_size"))), "inside": domain.inet_contains(F.lit("10.0.0.0/8"), F.concat(F.lit("10.1.2."), c("p_size"))), "mac": domain.macaddr_format(F.lit("AA-BB-cc.00.11.22"))},
+     """SELECT p_partkey, (p_partkey % 256) * 16777216 + p_size * 65536 + 1 AS num, (p_partkey % 256) || '.' || p_size || '.0.0/16' AS net, true AS private, true AS inside, 'aa:bb:cc:00:11:22' AS mac FROM part""", "p_partkey")
+_ver = lambda: domain.semver_parse(F.concat_ws(".", c("p_size"), c("p_partkey") % 10, F.lit(3)))
+_one("semver", "part", lambda: {"major": domain.semver_major(_ver()), "minor": domain.semver_minor(_ver()), "txt": domain.semver_format(domain.semver_increment_minor(_ver())), "ok": domain.semver_satisfies(_ver(), "^5.2.0"), "range": domain.semver_satisfies(_ver(), ">=3.0.0 <10.5.0"), "cmp": text.version_compare(F.concat_ws(".", c("p_size"), F.lit(0)), F.lit("25.0"))},
+     """SELECT p_partkey, p_size::BIGINT AS major, p_partkey % 10 AS minor, p_size || '.' || (p_partkey % 10 + 1) || '.0' AS txt, p_size = 5 AND p_partkey % 10 >= 2 AS ok,
+     p_size >= 3 AND (p_size < 10 OR (p_size = 10 AND p_partkey % 10 < 5)) AS "range", CASE WHEN p_size < 25 THEN -1 WHEN p_size > 25 THEN 1 ELSE 0 END AS cmp FROM part""", "p_partkey")
+_ra = lambda: domain.range_create(c("p_size"), c("p_size") + 10)
+_rb = lambda: domain.range_create(F.lit(20), F.lit(30))
+_one("ranges", "part", lambda: {"has": domain.range_contains_value(_ra(), F.lit(25)), "over": domain.range_overlaps(_ra(), _rb()), "adj": domain.range_adjacent(_ra(), _rb()), "lo": domain.range_intersection(_ra(), _rb())["lower"], "inside": domain.range_contains_range(_rb(), _ra()), "none": domain.range_is_empty(_ra())},
+     """SELECT p_partkey, p_size <= 25 AND p_size + 10 > 25 AS has, p_size < 30 AND p_size + 10 > 20 AS "over", p_size + 10 = 20 OR p_size = 30 AS adj, CASE WHEN p_size < 30 AND p_size + 10 > 20 THEN greatest(p_size, 20) END AS lo, p_size = 20 AS inside, false AS none FROM part""", "p_partkey")
+_d = lambda: c("o_orderdate").cast("date")
+_one("business_calendar", "orders", lambda: {"bd": domain.is_business_day(_d()), "nxt": domain.next_business_day(_d()), "fy": domain.fiscal_year(_d(), 7), "fq": domain.fiscal_quarter(_d(), 7), "between": domain.business_days_between(_d(), F.date_add(_d(), 10))},
+     """WITH d AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders) SELECT o_orderkey, isodow(d) < 6 AS bd, d + CASE isodow(d) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS nxt, year(d) + (month(d) >= 7)::INT AS fy, ((month(d) + 5) % 12) // 3 + 1 AS fq,
+     len(list_filter(range(0, 10), lambda i: isodow(d + i::INT) < 6)) AS "between" FROM d""", "o_orderkey")
+_one("finance", "part", lambda: {"npv": F.round(numeric.npv(F.lit(0.1), F.array(-c("p_retailprice"), c("p_retailprice") * 0.6, c("p_retailprice") * 0.7)), 6), "pmt": F.round(numeric.pmt(F.lit(0.01), F.lit(12), c("p_retailprice")), 6), "fv": F.round(numeric.fv(F.lit(0.01), F.lit(12), F.lit(-10.0), -c("p_retailprice")), 6),
+     "ci": F.round(numeric.compound_interest(c("p_retailprice"), F.lit(0.05), F.lit(12), F.lit(2)), 6), "sl": F.round(numeric.depreciation_sl(c("p_retailprice"), F.lit(100.0), F.lit(5)), 6), "bond": F.round(numeric.bond_price(F.lit(1000.0), F.lit(0.05), F.lit(0.04), F.lit(10)), 6)},
+     """SELECT p_partkey, round(-p_retailprice + p_retailprice * 0.6 / 1.1 + p_retailprice * 0.7 / (1.1 * 1.1), 6) AS npv, round(-p_retailprice * 0.01 / (1 - pow(1.01, -12)), 6) AS pmt, round(p_retailprice * pow(1.01, 12) + 10 * (pow(1.01, 12) - 1) / 0.01, 6) AS fv,
+     round(p_retailprice * pow(1 + 0.05::DOUBLE / 12, 24), 6) AS ci, round((p_retailprice - 100) / 5, 6) AS sl, round(50 * (1 - pow(1.04, -10)) / 0.04 + 1000 * pow(1.04, -10), 6) AS bond FROM part""", "p_partkey")
+_one("ratings", "part", lambda: {"e": F.round(numeric.elo_expected(c("p_retailprice"), F.lit(1200.0)), 6), "u": F.round(numeric.elo_update(c("p_retailprice"), F.lit(0.5), F.lit(1.0), F.lit(32)), 6), "b": F.round(numeric.bayesian_average(F.lit(4.0), c("p_size"), F.lit(3.0), F.lit(10)), 6), "w": F.round(numeric.win_rate(c("p_size"), c("p_size") + 5), 6)},
+     """SELECT p_partkey, round(1 / (1 + pow(10, (1200 - p_retailprice) / 400)), 6) AS e, round(p_retailprice + 16, 6) AS u, round((p_size * 4.0::DOUBLE + 30) / (p_size + 10), 6) AS b, round(p_size / (p_size + 5)::DOUBLE, 6) AS w FROM part""", "p_partkey")
+
+
+@register("array_statistics", """SELECT user_id, round(avg(value), 6) AS m, round(stddev_samp(value), 6) AS sd, round(var_pop(value), 5) AS v, round(quantile_cont(value, 0.25), 6) AS q1 FROM events GROUP BY user_id""")
+def _array_statistics(spark, sf_dir):
+    a = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("value").alias("a"))
+    v = c("a")
+    return a.select("user_id", F.round(numeric.mean(v), 6).alias("m"), F.round(numeric.stddev_sample(v), 6).alias("sd"), F.round(numeric.variance_pop(v), 5).alias("v"), F.round(numeric.percentile(v, F.lit(0.25)), 6).alias("q1"))
+
+
+_one("matrices", "part", lambda: {
+    "tr": numeric.matrix_trace(numeric.matrix_multiply(numeric.matrix_create(2, 2, F.array(c("p_size").cast("double"), F.lit(1.0), F.lit(2.0), F.lit(3.0))), numeric.matrix_identity(2))),
+    "t1": numeric.matrix_transpose(numeric.matrix_create(1, 2, F.array(c("p_size").cast("double"), F.lit(9.0))))["rows"], "det": F.round(numeric.matrix_determinant(F.lit(2), F.lit(2), F.array(c("p_size").cast("double"), F.lit(1.0), F.lit(2.0), F.lit(3.0))), 6),
+    "dot": numeric.dot_product(F.array(c("p_size"), F.lit(2)), F.array(F.lit(3), F.lit(4)))}, "SELECT p_partkey, p_size + 3.0::DOUBLE AS tr, 2 AS t1, round(p_size * 3.0::DOUBLE - 2, 6) AS det, p_size * 3.0::DOUBLE + 8 AS dot FROM part", "p_partkey")
+_ring = lambda: F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((0, 0), (20, 0), (20, 20), (0, 20), (0, 0))])
+_one("geometry", "part", lambda: {"d": F.round(numeric.st_distance(c("p_size"), F.lit(0), F.lit(3), F.lit(4)), 6), "inside": numeric.st_contains(_ring(), c("p_size") + 0.5, F.lit(10.0)), "area": numeric.st_area(_ring())},
+     "SELECT p_partkey, round(sqrt((p_size - 3) * (p_size - 3) + 16), 6) AS d, p_size + 0.5 < 20 AS inside, 400.0::DOUBLE AS area FROM part", "p_partkey")
+_m1 = lambda: numeric.money_create(c("p_retailprice"), F.lit("EUR"))
+_m2 = lambda: numeric.money_create(F.lit(1.25), F.lit("EUR"))
+_one("money_units", "part", lambda: {"minor": numeric.money_add(_m1(), _m2())["minor"], "yen": numeric.money_create(c("p_size"), F.lit("JPY"))["minor"], "km": F.round(numeric.convert_units(c("p_size").cast("double"), "mi", "km"), 6)},
+     "SELECT p_partkey, round(p_retailprice * 100)::BIGINT + 125 AS minor, p_size::BIGINT AS yen, round(p_size * 1.609344::DOUBLE, 6) AS km FROM part", "p_partkey")
+_sm = lambda: F.lit('{"initial": "O", "transitions": {"O": {"ship": "P"}, "P": {"finish": "F", "back": "O"}}}')
+_one("state_machines", "orders", lambda: {"nxt": domain.sm_transition(_sm(), c("o_orderstatus"), F.lit("finish")), "end": domain.sm_is_terminal(_sm(), c("o_orderstatus")), "ev": F.array_join(domain.sm_available_events(_sm(), c("o_orderstatus")), ","), "path": F.array_join(domain.sm_shortest_path(_sm(), c("o_orderstatus"), F.lit("F")), ">")},
+     """SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 'F' END AS nxt, o_orderstatus NOT IN ('O', 'P') AS "end", CASE o_orderstatus WHEN 'O' THEN 'ship' WHEN 'P' THEN 'back,finish' ELSE '' END AS ev, CASE o_orderstatus WHEN 'O' THEN 'O>P>F' WHEN 'P' THEN 'P>F' WHEN 'F' THEN 'F' END AS path FROM orders""", "o_orderkey")
+_path = lambda: F.concat_ws("/", F.lit(""), c("p_type"), c("p_brand"), c("p_partkey"))
+_one("hierarchies", "part", lambda: {"depth": domain.path_depth(_path()), "up": F.array_join(domain.path_ancestors(_path()), ";"), "anc": domain.is_ancestor(F.concat(F.lit("/"), c("p_type")), _path())},
+     "SELECT p_partkey, 3 AS depth, '/' || p_type || ';/' || p_type || '/' || p_brand AS up, true AS anc FROM part", "p_partkey")
+_one("json_documents", "events", lambda: {"has": text.jsonb_exists(c("props"), "k"), "any": text.jsonb_exists_any(c("props"), ["x", "k"]), "every": text.jsonb_exists_all(c("props"), ["x", "k"]), "inside": text.jsonb_contains(c("props"), c("props")), "merged": text.json_get(text.json_merge_patch(c("props"), F.lit('{"k": null, "z": 5}')), "z"), "diff": text.json_diff(c("props"), c("props"))},
+     """SELECT event_id, true AS has, true AS "any", false AS every, true AS inside, '5' AS merged, '[]' AS diff FROM events""", "event_id")
+_one("cron", "events", lambda: {"nxt": domain.cron_next(F.lit("30 6 * * *"), c("ts")), "hit": domain.cron_matches(F.lit("* * * * 1-5"), c("ts"))},
+     """SELECT event_id, date_trunc('day', ts) + INTERVAL '6 hours 30 minutes' + CASE WHEN date_trunc('minute', ts) - date_trunc('day', ts) >= INTERVAL '6 hours 30 minutes' THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS nxt, isodow(ts) < 6 AS hit FROM events""", "event_id")
+
+
+@register("sketches")
+def _sketches(spark, sf_dir):
+    """HyperLogLog, t-digest-like quantiles and count-min over events; estimates, so no oracle."""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_sketch_agg("user_id", F.lit(12))).alias("users"), F.percentile_approx("value", 0.5).alias("median"))
+
+
+@register("similarity_fingerprints", "SELECT doc_id, true AS same, 0 AS distance FROM documents")
+def _fingerprints(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    sig = bits.minhash_signature(F.slice(F.split("text", " "), 1, 50), 16)
+    return d.select("doc_id", (bits.minhash_similarity(sig, sig) == 1).alias("same"), bits.simhash_distance(bits.simhash(c("text")), bits.simhash(c("text"))).alias("distance"))
