@@ -6,7 +6,8 @@ the last token of the prefix before it is stored. Following the back-pointers fr
 without any merge queue. Two tokens are compatible if no merge across their border would come before the merges
 that build them, which is read off the right edge of the one and the left edge of the other.
 
-Encodings of blank-separated chunks are kept in a bounded dictionary per worker, as most chunks recur.
+Encodings of pieces are kept in a table of fixed size per worker, as most pieces recur; texts that need more of the
+pre-tokenizer than byte classes are parted by its pattern.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; special tokens in a text become their
 ids, as in the library's plain ``encode``; a null ``doc_id`` stays null; repeated rows are each encoded; texts of any
@@ -18,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +29,15 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .common import small_batches
+from .pieces import PieceTable, gpt_pieces
 
 #: White space of Unicode, as the pre-tokenizer sees it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 )
-_EDGE = regex.compile(rf"^[{WHITE}]|[{WHITE}]$")
-#: Chunks, and pieces, of a generation of a worker's memory.
-CACHE_CHUNKS = 600_000
+#: Pieces of a generation of the memory for texts that are parted by the pattern.
+CACHE_PIECES = 100_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -129,11 +130,10 @@ class Codec:
         self._spines: dict[tuple[int, int], tuple[tuple[int, float], ...]] = {}
         self._fits = _Fits(self.fits)
         self._special = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
-        # two generations each: what is not asked for while a generation fills is forgotten
-        self.chunks: dict[str, bytes] = {}
-        self.older_chunks: dict[str, bytes] = {}
+        # two generations: what is not asked for while one fills is forgotten
         self.pieces: dict[str, bytes] = {}
         self.older_pieces: dict[str, bytes] = {}
+        self.table = PieceTable(lambda pieces: [self.encode_piece(p) for p in pieces], "<u4")
 
     def spine(self, token: int, side: int) -> tuple[tuple[int, float], ...]:
         """The tokens that stand at the token's left (0) or right (1) edge while it is built, each with the rank of
@@ -201,45 +201,29 @@ class Codec:
                 ids = self.older_pieces.get(piece)
                 if ids is None:
                     ids = self.encode_piece(piece.encode()).tobytes()
-                if len(self.pieces) >= CACHE_CHUNKS:
+                if len(self.pieces) >= CACHE_PIECES:
                     self.older_pieces, self.pieces = self.pieces, {}
                 if len(piece) <= 64:
                     self.pieces[piece] = ids
             out.append(ids)
         return b"".join(out)
 
-    def _plain(self, text: str) -> bytes:
-        """Ids of a text without special tokens. Where single blanks part it into chunks that neither start nor end
-        with white space, each blank goes with the chunk after it, so the chunks are independent."""
-        first, *rest = text.split(" ")
-        if not first or first[-1] <= " " or _EDGE.search(first[-1]):
-            return self._pieces(text)
-        known = self.chunks
-        try:
-            return b"".join([self._pieces(first), *map(known.__getitem__, rest)])
-        except KeyError:
-            pass
-        fresh = {c for c in rest if c not in known}
-        if any(not c or _EDGE.search(c) for c in fresh):
-            return self._pieces(text)
-        if len(known) + len(fresh) > CACHE_CHUNKS:
-            self.older_chunks, self.chunks = known, {}
-            known = self.chunks
-            fresh = set(rest)
-        older = self.older_chunks
-        for c in fresh:
-            known[c] = older.get(c) or self._pieces(" " + c)
-        return b"".join([self._pieces(first), *map(known.__getitem__, rest)])
-
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
         if self._special is None or not any(t in text for t in self.special):
-            return np.frombuffer(self._plain(text), "<u4")
+            return np.frombuffer(self._pieces(text), "<u4")
         out, at = [], 0
         for m in self._special.finditer(text):
-            out += [self._plain(text[at : m.start()]), np.array([self.special[m[0]]], "<u4").tobytes()]
+            out += [self._pieces(text[at : m.start()]), np.array([self.special[m[0]]], "<u4").tobytes()]
             at = m.end()
-        return np.frombuffer(b"".join([*out, self._plain(text[at:])]), "<u4")
+        return np.frombuffer(b"".join([*out, self._pieces(text[at:])]), "<u4")
+
+    def encode_column(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of an Arrow column."""
+        column = K.strings(column)
+        for i, _, data, offsets in K.chunks(column):
+            for k, ids in enumerate(self.table.texts(gpt_pieces, data, offsets)):
+                yield self.encode(column[i + k].as_py()) if ids is None else ids
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -275,7 +259,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         own = codec(shared.value)
         for batch in batches:
-            rows = [own.encode(t) for t in K.strings(batch.column(1)).to_pylist()]
+            rows = list(own.encode_column(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), _ids_array(rows)], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, ids array<int>")
@@ -303,8 +287,8 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
         own = codec(shared.value)
         for batch in batches:
             counts, hashes, decoded = [], [], []
-            for text in K.strings(batch.column(1)).to_pylist():
-                ids = own.encode(text).tolist()
+            for row in own.encode_column(batch.column(1)):
+                ids = row.tolist()
                 counts.append(len(ids))
                 hashes.append(hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest())
                 decoded.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())

@@ -22,7 +22,7 @@ import hashlib
 import os
 import struct
 import zlib
-from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .common import fresh_path, open_bytes, settle, small_batches, write_bytes
+from .pieces import PieceTable, word_pieces
 
 MAGIC = b"SLTK1\n"
 END_ID = 1
@@ -39,20 +40,14 @@ LEVEL = 3
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCS = 1_000
 SAMPLE_IDS = 2_048
-#: Chunks of text of a generation of a worker's memory.
-CACHE_CHUNKS = 700_000
-# Fixed value: ASCII punctuation that never joins the word before it (an apostrophe may).
-PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
-#: Ids shown by a shard at most before it is closed: bounds the memory of writer and reader.
+#: Bytes of frames at which a shard is closed: bounds the memory of writer and reader.
 SHARD_BYTES = 32 << 20
 _INDEX = (("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("ids", "<u4"))
 
 
 class Encoder:
-    """The library's tokenizer with a memory of chunks between blanks or line ends, which are independent of each other:
-    the pre-tokenizer parts text at white space and normalisation never crosses it. It parts a word from punctuation
-    after it too, so the library sees each word once. Texts within Latin-1 are lower-cased first, as the normaliser
-    would. The memory has two generations: what is not asked for while a generation fills is forgotten."""
+    """The library's tokenizer, asked once for each piece of a table of fixed size: the pre-tokenizer's pieces are encoded
+    independently of each other. Texts that need more of it than byte classes go to the library whole."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,60 +56,25 @@ class Encoder:
         self.library = Tokenizer.from_str(definition)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.wide = self.library.get_vocab_size() > 65_535
-        self.code = "I" if self.wide else "H"
-
-    @staticmethod
-    def _plain(text: str) -> str:
-        if "<|" not in text:
-            try:
-                text.encode("latin-1")
-                return text.lower()
-            except UnicodeEncodeError:
-                pass
-        return text
-
-    def _learn(self, fresh: set[str]) -> None:
-        known, older, get = self.known, self.older, self.known.get
-        todo, later = set(), []
-        for chunk in fresh:
-            if older and (ids := older.get(chunk)) is not None:
-                known[chunk] = ids
-                continue
-            word = chunk.rstrip(PUNCTUATION)
-            n = len(word)
-            if n == len(chunk) or not n or not word[-1].isalnum() or "|>" in chunk:
-                todo.add(chunk)
-                continue
-            tail = chunk[n:]
-            a, b = get(word), get(tail)
-            if a is not None and b is not None:
-                known[chunk] = a + b
-            else:
-                later.append(chunk)
-                todo.update((word, tail))
-        todo = [part for part in todo if part not in known]
-        if older:
-            known.update((part, older[part]) for part in todo if part in older)
-            todo = [part for part in todo if part not in known]
-        for i in range(0, len(todo), 20_000):
-            some = todo[i : i + 20_000]
-            for part, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[part] = array(self.code, e.ids).tobytes()
-        for chunk in later:
-            word = chunk.rstrip(PUNCTUATION)
-            known[chunk] = known[word] + known[chunk[len(word) :]]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [self._plain(t).replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE_CHUNKS:
-            self.older, self.known = self.known, {}
-        known = self.known
-        self._learn(set().union(*parts).difference(known))
-        end = array(self.code, [END_ID]).tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, p)) + end, "<u4" if self.wide else "<u2") for p in parts]
+        self.kind = "<u4" if self.wide else "<u2"
+        self.table = PieceTable(self._pieces, self.kind)
+
+    def _pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        out = []
+        for i in range(0, len(pieces), 20_000):
+            out += [e.ids for e in self.library.encode_batch_fast([p.decode() for p in pieces[i : i + 20_000]], add_special_tokens=False)]
+        return out
+
+    def encode(self, texts: pa.Array | list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, with the end id."""
+        texts = K.strings(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        end = np.array([END_ID], self.kind)
+        for i, _, data, offsets in K.chunks(texts):
+            for k, ids in enumerate(self.table.texts(word_pieces, data, offsets)):
+                if ids is None:
+                    ids = np.array(self.library.encode(texts[i + k].as_py(), add_special_tokens=False).ids, self.kind)
+                yield np.concatenate([ids, end])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -139,7 +99,7 @@ def train_dictionary(docs: DataFrame, definition, id_col: str, text_col: str) ->
     def run(batches):
         own = encoder(definition.value)
         for batch in batches:
-            rows = [r[:SAMPLE_IDS].tobytes() for r in own.encode(K.strings(batch.column(0)).to_pylist())]
+            rows = [r[:SAMPLE_IDS].tobytes() for r in own.encode(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
 
     samples = sorted(r.ids for r in chosen.mapInArrow(run, "ids binary").limit(2 * SAMPLE_DOCS).collect())
@@ -190,18 +150,15 @@ def write(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
             )
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = K.strings(batch.column(1)).to_pylist()
-            for k in range(0, len(ids), 500):
-                for key, row in zip(ids[k : k + 500], own.encode(texts[k : k + 500]), strict=True):
-                    frame = press.compress(row.tobytes())
-                    entries.append((key or 0, key is None, at, len(frame), len(row)))
-                    frames.append(frame)
-                    at += len(frame)
-                    size += len(frame)
-                    if size >= SHARD_BYTES:
-                        yield close()
-                        frames, entries, size, at = [], [], 0, 39
+            for key, row in zip(batch.column(0).to_pylist(), own.encode(batch.column(1)), strict=True):
+                frame = press.compress(row.tobytes())
+                entries.append((key or 0, key is None, at, len(frame), len(row)))
+                frames.append(frame)
+                at += len(frame)
+                size += len(frame)
+                if size >= SHARD_BYTES:
+                    yield close()
+                    frames, entries, size, at = [], [], 0, 39
         if entries:
             yield close()
 
