@@ -8,9 +8,10 @@ gives the same result, this one keeps common passages out of the prefixes. Nodes
 share so many prefix tokens under it, with fitting sizes, are candidates. For each candidate the prefixes under the
 other orders must intersect as well, and only then are the sets compared.
 
-A group of near copies is not expanded into pairs: each node is first compared with one node of those that are the
-smallest of a bucket with it, and with one of the largest; only nodes that are still in different components after
-that are compared with each other.
+A group of near copies is not expanded into pairs of rows: each node first joins the cluster of the most central node
+that it shares a bucket with (the one whose prefix is shared most), and a cluster's sets are compared in blocks, as
+products of membership matrices, of which only links that join components are kept. Then nodes that are in different
+clusters and still in different components are compared where they share a bucket.
 So every link either is found or lies within a component, and components are exact. Texts are read three times and
 never shuffled; prefixes are shuffled by token, sets only for nodes that are candidates.
 
@@ -40,6 +41,10 @@ OTHER_ORDERS = (2, 3)
 DEPTH = 5
 #: Nodes compared with one node in a task, about; a node compared with more is sent to several tasks.
 STAR_NODES = 400
+#: Nodes, and bytes of sets, of a block of a cluster, about.
+BLOCK_NODES, BLOCK_BYTES = 800, 24 << 20
+#: Columns of a membership matrix at a time.
+COLUMNS = 2048
 #: Counters of the table of token counts; a token is frequent if its counter is so many deviations above the mean.
 COUNTERS = 1 << 20
 FREQUENT_DEVIATIONS = 6.0
@@ -89,6 +94,64 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
 
 
+def _product(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """For two lists of sets, how many tokens each pair shares."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    both = left + right
+    sizes = [len(s) for s in both]
+    if not sum(sizes):
+        return out
+    tokens, place = np.unique(np.concatenate(both), return_inverse=True)
+    counts = np.bincount(place, minlength=len(tokens))
+    number = np.cumsum(counts > 1) - 1
+    row = np.repeat(np.arange(len(both)), sizes)
+    shared = counts[place] > 1
+    row, column = row[shared], number[place[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(number[-1]) + 1, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        m = np.zeros((len(both), COLUMNS), np.float32)
+        m[row[a:b], column[a:b] - at] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def similar_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """A matrix of whether each pair is similar: sizes and the prefixes under the other orders first, then the sets."""
+    n, m = np.array([len(s) for s in left], np.float64)[:, None], np.array([len(s) for s in right], np.float64)[None, :]
+    good = 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+    for salt in OTHER_ORDERS:
+        if not good.any():
+            return good
+        first = lambda s, salt=salt: np.partition(K.mix(s, salt), prefix_length(len(s)) - 1)[: prefix_length(len(s))]
+        good &= _product([first(s) for s in left], [first(s) for s in right]) > 0
+    if good.any():
+        shared = _product(left, right)
+        good &= 100 * shared >= PERCENT * (n + m - shared)
+    return good
+
+
+def spanning_links(nodes: list[int], others: list[int], good: np.ndarray) -> list[tuple[int, int]]:
+    """Links enough to join what the matrix joins: a tree of each component."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for a, b in zip(*np.nonzero(good), strict=True):
+        x, y = nodes[a], others[b]
+        p, q = find(x), find(y)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((min(x, y), max(x, y)))
+    return out
+
+
 def _sets(batches, at: int = 1):
     """(ids, sets) chunk by chunk."""
     for batch in batches:
@@ -144,16 +207,14 @@ class FirstOrder:
 
 
 def _buckets(tokens: DataFrame) -> DataFrame:
-    """(token, node, n, low, high) of the tokens that distinct nodes share; low and high are the bucket's smallest and
-    largest node with their sizes. Buckets of frequent tokens may be large, so they are aggregated before the shuffle;
-    those of other tokens are sorted by token."""
-    low, high = F.min(F.struct("node", "n")), F.max(F.struct("node", "n"))
+    """(token, node, n) of the tokens that distinct nodes share. Buckets of frequent tokens may be large, so they are
+    aggregated before the shuffle; those of other tokens are sorted by token."""
     w = Window.partitionBy("token")
-    rare = tokens.filter("not frequent").withColumns({"low": low.over(w), "high": high.over(w)})
+    rare = tokens.filter("not frequent").withColumns({"low": F.min("node").over(w), "high": F.max("node").over(w)}).filter("low <> high")
     common = tokens.filter("frequent")
-    common = common.join(common.groupBy("token").agg(low.alias("low"), high.alias("high")), "token")
-    columns = ["token", "node", "n", "low", "high"]
-    return rare.select(*columns).union(common.select(*columns)).filter("low.node <> high.node")
+    shared = common.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("token")
+    columns = ["token", "node", "n"]
+    return rare.select(*columns).union(common.join(shared, "token").select(*columns))
 
 
 def _fits(a: str, b: str):
@@ -215,15 +276,12 @@ class Join:
 
         return self.docs.mapInArrow(run, "token long, node long, n long, frequent boolean")
 
-    def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are similar. ``nodes``: (node, doc_id) of one document of each node.
+    def gathered(self, places: DataFrame, nodes: DataFrame, keys: list[str], order: str) -> DataFrame:
+        """The sets of the nodes at their places, dealt out by ``keys`` and sorted by ``order`` within them.
 
         Sets are built for the documents that a filter of fixed size lets through, go to the nodes' places once, and
-        from there to the places of the nodes that they are compared with, where each ``a`` meets its ``b``s in turn."""
-        stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_NODES).cast("int").alias("salts"))
-        center = stars.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("turn"))
-        member = pairs.join(stars, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("turn"))
-        places = settle(center.union(member), "places")
+        from there to the keys. ``nodes``: (node, doc_id) of one document of each node."""
+        places = settle(places, "places")
         wanted = nodes.join(places.select("node").distinct(), "node").select("doc_id")
         bits = self.spark.sparkContext.broadcast(_filter_words(wanted, "doc_id"))
         hashes = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(FILTER_BITS)).cast("int").alias(f"h{k}") for k in range(3)]
@@ -242,8 +300,56 @@ class Join:
 
         sets = self.docs.select("text", *hashes).mapInArrow(build, "node long, members binary")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        met = sets.join(places, "node").select("a", "salt", "turn", "node", "members")
-        met = met.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "turn")
+        met = sets.join(places, "node").select(*keys, order, "node", "members")
+        return met.repartition(parts, *keys).sortWithinPartitions(*keys, order)
+
+    def clusters(self, buckets: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(links, hubs): links that join the components within clusters, and (node, hub)."""
+        sizes = buckets.groupBy("node", "n").agg(F.count("*").alias("shared"))
+        prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + _depth("n", "n")
+        central = sizes.select("node", F.struct((F.col("shared") / prefix).alias("share"), "node", "n").alias("c"))
+        held = buckets.join(central, "node").select("token", "node", "n", "c")
+        best = held.groupBy("token").agg(F.max("c").alias("best"))
+        hubs = settle(held.join(best, "token").groupBy("node", "n").agg(F.max("best").alias("best")).select("node", "n", F.col("best.node").alias("hub"), F.col("best.n").alias("hub_n")), "hubs")
+        inside = hubs.select("node", "n", "hub").union(hubs.select("hub", "hub_n", "hub")).distinct()  # a hub is in its own cluster
+        blocks = inside.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"), F.count("*").alias("m")).filter("m > 1")
+        own = inside.join(blocks, "hub").select("node", F.col("hub").alias("a"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+        pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j"))))
+        met = self.gathered(own.select("node", "a", "block", pair.alias("p")).select("node", "a", "block", "p.i", "p.j"), nodes, ["a", "i", "j"], "block")
+
+        def check(batches):
+            key, members = None, {}
+
+            def links():
+                if key is None:
+                    return []
+                i, j = key[1:]
+                left, right = members.get(i, []), members.get(j, [])
+                good = similar_pairs([s for _, s in left], [s for _, s in right])
+                return spanning_links([x for x, _ in left], [x for x, _ in right], good if i != j else np.triu(good, 1))
+
+            for batch in batches:
+                out = []
+                for a, i, j, block, node, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (a, i, j) != key:
+                        out += links()
+                        key, members = (a, i, j), {}
+                    members.setdefault(block, []).append((node, np.frombuffer(rows, np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
+            out = links()
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
+
+        return settle(met.mapInArrow(check, "a long, b long").distinct(), "links"), hubs.select("node", "hub")
+
+    def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets are similar. ``nodes``: (node, doc_id) of one document of each node.
+
+        Sets are built for the documents that a filter of fixed size lets through, go to the nodes' places once, and
+        from there to the places of the nodes that they are compared with, where each ``a`` meets its ``b``s in turn."""
+        stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_NODES).cast("int").alias("salts"))
+        center = stars.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("turn"))
+        member = pairs.join(stars, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("turn"))
+        met = self.gathered(center.union(member), nodes, ["a", "salt"], "turn")
 
         def check(batches):
             key, own = None, None
@@ -263,27 +369,20 @@ class Join:
         docs = members.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node")
         nodes = settle(docs.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
         buckets = settle(_buckets(self.tokens(members)), "buckets")
-        # first, each node with one of the smallest and one of the largest nodes of its buckets that it shares enough
-        # with: few pairs, which join most of a group
-        ends = [
-            buckets.filter(F.col("node") != F.col(f"{e}.node")).filter(_fits("n", f"{e}.n")).groupBy("node", F.col(f"{e}.node").alias("end"))
-            .agg(F.count("*").alias("shared"), F.min(_depth("n", f"{e}.n")).alias("depth")).filter("shared >= depth")
-            .groupBy("node").agg(pick("end").alias("end"))
-            for e, pick in (("low", F.min), ("high", F.max))
-        ]
-        stars = settle(ends[0].union(ends[1]).select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct(), "stars")
-        links = self.verified(stars, nodes)
+        links, hubs = self.clusters(buckets, nodes)
         roots = settle(components(links), "roots")
-        # then all pairs of nodes that share enough and are not in one component yet
-        rest = buckets.select("token", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rest.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
+        # then all pairs of nodes that share enough and are neither in one cluster nor in one component yet
+        known = settle(hubs.join(roots, "node", "left").select("node", "hub", F.coalesce("root", "node").alias("root")), "known")
+        rest = buckets.join(known, "node").select("token", "node", "n", "root", "hub")
+        mixed = rest.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("hub").alias("h0"), F.max("hub").alias("h1"))
+        mixed = mixed.filter("r0 <> r1 AND h0 <> h1").select("token")
         rest = settle(rest.join(mixed, "token"), "mixed-buckets")
         x, y = rest.alias("x"), rest.alias("y")
-        cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & _fits("x.n", "y.n"))
+        cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & (F.col("x.hub") != F.col("y.hub")) & _fits("x.n", "y.n"))
         cross = cross.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(
             F.count("*").alias("shared"), F.min(_depth("x.n", "y.n")).alias("depth")
         )
-        cross = settle(cross.filter("shared >= depth").select("a", "b").join(stars, ["a", "b"], "left_anti"), "cross-pairs")
+        cross = settle(cross.filter("shared >= depth").select("a", "b"), "cross-pairs")
         if not cross.isEmpty():
             roots = settle(components(links.union(self.verified(cross, nodes))), "roots")
         joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
