@@ -9,7 +9,8 @@ share so many prefix tokens under it, with fitting sizes, are candidates. For ea
 other orders must intersect as well, and only then are the sets compared.
 
 A group of near copies is not expanded into pairs of rows: each node first joins the cluster of the most central node
-that it shares a bucket with (the one whose prefix is shared most), and a cluster's sets are compared in blocks, as
+that it shares enough with (the one with most frequent tokens in its prefix, for what edits add is rare), and a
+cluster's sets are compared in blocks, as
 products of membership matrices, of which only links that join components are kept. Then nodes that are in different
 clusters and still in different components are compared where they share a bucket.
 So every link either is found or lies within a component, and components are exact. Texts are read three times and
@@ -207,14 +208,16 @@ class FirstOrder:
 
 
 def _buckets(tokens: DataFrame) -> DataFrame:
-    """(token, node, n) of the tokens that distinct nodes share. Buckets of frequent tokens may be large, so they are
-    aggregated before the shuffle; those of other tokens are sorted by token."""
+    """(token, node, n, best) of the tokens that distinct nodes share; best is the bucket's most central node with its
+    size. Buckets of frequent tokens may be large, so they are aggregated before the shuffle; those of other tokens are
+    sorted by token."""
+    aggs = {"low": F.min("node"), "high": F.max("node"), "best": F.max(F.struct("central", "node", "n"))}
     w = Window.partitionBy("token")
-    rare = tokens.filter("not frequent").withColumns({"low": F.min("node").over(w), "high": F.max("node").over(w)}).filter("low <> high")
+    rare = tokens.filter("not frequent").withColumns({k: a.over(w) for k, a in aggs.items()})
     common = tokens.filter("frequent")
-    shared = common.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("token")
-    columns = ["token", "node", "n"]
-    return rare.select(*columns).union(common.join(shared, "token").select(*columns))
+    common = common.join(common.groupBy("token").agg(*[a.alias(k) for k, a in aggs.items()]), "token")
+    columns = ["token", "node", "n", "best", "low", "high"]
+    return rare.select(*columns).union(common.select(*columns)).filter("low <> high").drop("low", "high")
 
 
 def _fits(a: str, b: str):
@@ -270,11 +273,12 @@ class Join:
                             pa.array(np.repeat(np.array([r[0] for r in rows], np.int64), sizes)),
                             pa.array(np.repeat(np.array([r[1] for r in rows], np.int64), sizes)),
                             pa.array(np.concatenate([r[3] for r in rows])),
+                            pa.array(np.repeat(np.array([1000 * int(r[3].sum()) // len(r[3]) for r in rows], np.int32), sizes)),
                         ],
-                        names=["token", "node", "n", "frequent"],
+                        names=["token", "node", "n", "frequent", "central"],
                     )
 
-        return self.docs.mapInArrow(run, "token long, node long, n long, frequent boolean")
+        return self.docs.mapInArrow(run, "token long, node long, n long, frequent boolean, central int")
 
     def gathered(self, places: DataFrame, nodes: DataFrame, keys: list[str], order: str) -> DataFrame:
         """The sets of the nodes at their places, dealt out by ``keys`` and sorted by ``order`` within them.
@@ -305,12 +309,9 @@ class Join:
 
     def clusters(self, buckets: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(links, hubs): links that join the components within clusters, and (node, hub)."""
-        sizes = buckets.groupBy("node", "n").agg(F.count("*").alias("shared"))
-        prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + _depth("n", "n")
-        central = sizes.select("node", F.struct((F.col("shared") / prefix).alias("share"), "node", "n").alias("c"))
-        held = buckets.join(central, "node").select("token", "node", "n", "c")
-        best = held.groupBy("token").agg(F.max("c").alias("best"))
-        hubs = settle(held.join(best, "token").groupBy("node", "n").agg(F.max("best").alias("best")).select("node", "n", F.col("best.node").alias("hub"), F.col("best.n").alias("hub_n")), "hubs")
+        pairs = buckets.filter("node <> best.node").filter(_fits("n", "best.n")).groupBy("node", "n", "best").agg(F.count("*").alias("shared"), F.min(_depth("n", "best.n")).alias("depth"))
+        best = pairs.filter("shared >= depth").groupBy("node", "n").agg(F.max("best").alias("best"))
+        hubs = settle(best.select("node", "n", F.col("best.node").alias("hub"), F.col("best.n").alias("hub_n")), "hubs")
         inside = hubs.select("node", "n", "hub").union(hubs.select("hub", "hub_n", "hub")).distinct()  # a hub is in its own cluster
         blocks = inside.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"), F.count("*").alias("m")).filter("m > 1")
         own = inside.join(blocks, "hub").select("node", F.col("hub").alias("a"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
@@ -372,8 +373,8 @@ class Join:
         links, hubs = self.clusters(buckets, nodes)
         roots = settle(components(links), "roots")
         # then all pairs of nodes that share enough and are neither in one cluster nor in one component yet
-        known = settle(hubs.join(roots, "node", "left").select("node", "hub", F.coalesce("root", "node").alias("root")), "known")
-        rest = buckets.join(known, "node").select("token", "node", "n", "root", "hub")
+        known = settle(hubs.join(roots, "node", "full"), "known")
+        rest = buckets.select("token", "node", "n").join(known, "node", "left").withColumns({"root": F.coalesce("root", "node"), "hub": F.coalesce("hub", "node")})
         mixed = rest.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("hub").alias("h0"), F.max("hub").alias("h1"))
         mixed = mixed.filter("r0 <> r1 AND h0 <> h1").select("token")
         rest = settle(rest.join(mixed, "token"), "mixed-buckets")
