@@ -348,9 +348,9 @@ def minhash_similarity(a: Column, b: Column) -> Column:
 
 @vectorized("long")
 def simhash(text):
-    """64-bit simhash of the lower-cased words."""
+    """64-bit simhash of the words."""
     sums = [0] * 64
-    for w in text.lower().split():
+    for w in text.split():
         h = _xx.xxh64_intdigest(w)
         for k in range(64):
             sums[k] += 1 if h >> k & 1 else -1

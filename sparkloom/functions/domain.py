@@ -173,40 +173,46 @@ def url_resolve(base, reference):
     return urljoin(base, reference)
 
 
-# ---- versions: packed as major << 40 | minor << 20 | patch
+# ---- versions: packed as major << 41 | minor << 21 | patch << 1 | 1, the last bit 0 for a pre-release
 
 
 def semver_parse(x: Column) -> Column:
     part = lambda k: F.regexp_extract(x, r"^v?(\d+)\.(\d+)\.(\d+)", k).cast("long")
-    return F.when(x.rlike(r"^v?\d+\.\d+\.\d+"), part(1) * (1 << 40) + part(2) * (1 << 20) + part(3))
+    release = F.when(x.rlike(r"^v?\d+\.\d+\.\d+-"), 0).otherwise(1)
+    return F.when(x.rlike(r"^v?\d+\.\d+\.\d+"), part(1) * (1 << 41) + part(2) * (1 << 21) + part(3) * 2 + release)
 
 
 def semver_major(v: Column) -> Column:
-    return F.shiftright(v, 40)
+    return F.shiftright(v, 41)
 
 
 def semver_minor(v: Column) -> Column:
-    return F.shiftright(v, 20).bitwiseAND(F.lit((1 << 20) - 1))
+    return F.shiftright(v, 21).bitwiseAND(F.lit((1 << 20) - 1))
 
 
 def semver_patch(v: Column) -> Column:
-    return v.bitwiseAND(F.lit((1 << 20) - 1))
+    return F.shiftright(v, 1).bitwiseAND(F.lit((1 << 20) - 1))
+
+
+def semver_is_prerelease(v: Column) -> Column:
+    return v.bitwiseAND(F.lit(1)) == 0
 
 
 def semver_format(v: Column) -> Column:
-    return F.concat_ws(".", semver_major(v), semver_minor(v), semver_patch(v))
+    body = F.concat_ws(".", semver_major(v), semver_minor(v), semver_patch(v))
+    return F.when(semver_is_prerelease(v), F.concat(body, F.lit("-pre"))).otherwise(body)
 
 
 def semver_increment_major(v: Column) -> Column:
-    return (semver_major(v) + 1) * (1 << 40)
+    return (semver_major(v) + 1) * (1 << 41) + 1
 
 
 def semver_increment_minor(v: Column) -> Column:
-    return semver_major(v) * (1 << 40) + (semver_minor(v) + 1) * (1 << 20)
+    return semver_major(v) * (1 << 41) + (semver_minor(v) + 1) * (1 << 21) + 1
 
 
 def semver_increment_patch(v: Column) -> Column:
-    return v + 1
+    return semver_major(v) * (1 << 41) + semver_minor(v) * (1 << 21) + (semver_patch(v) + 1) * 2 + 1
 
 
 def semver_satisfies(v: Column, constraint: str) -> Column:
@@ -216,8 +222,8 @@ def semver_satisfies(v: Column, constraint: str) -> Column:
         op = next((o for o in (">=", "<=", ">", "<", "=", "^", "~") if word.startswith(o)), "=")
         numbers = [int(n) for n in (word.removeprefix(op).split(".") + ["0", "0"])[:3]]
         a, b, c = numbers
-        low = a << 40 | b << 20 | c
-        high = {"^": (a + 1) << 40 if a else (b + 1) << 20 if b else c + 1, "~": a << 40 | (b + 1) << 20}.get(op)
+        low = a << 41 | b << 21 | c << 1 | 1
+        high = {"^": (a + 1) << 41 if a else (b + 1) << 21 if b else (c + 1) << 1, "~": a << 41 | (b + 1) << 21}.get(op)
         out = out & {">=": v >= low, "<=": v <= low, ">": v > low, "<": v < low, "=": v == low}.get(op, (v >= low) & (v < high))
     return out
 
@@ -249,8 +255,8 @@ def business_days_between(a: Column, b: Column, holidays: Column | None = None)
 
 
 def fiscal_year(d: Column, start_month: int) -> Column:
-    """Named by the calendar year in which it ends, if it doesn't start in January."""
-    return F.year(d) + F.when(F.lit(start_month > 1) & (F.month(d) >= start_month), 1).otherwise(0)
+    """Named by the calendar year in which it starts."""
+    return F.year(d) - F.when(F.month(d) < start_month, 1).otherwise(0)
 
 
 def fiscal_quarter(d: Column, start_month: int) -> Column:
@@ -362,8 +368,11 @@ def sm_shortest_path(machine, start, goal):
 
 
 def path_ancestors(path: Column) -> Column:
+    """From the root to the parent; none for the root itself."""
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
+    root = F.array(F.lit("/"))
+    return F.when(F.size(parts) == 0, F.array().cast("array<string>")).when(F.size(parts) == 1, root).otherwise(F.concat(root, above))
 
 
 def path_depth(path: Column) -> Column:

@@ -308,10 +308,6 @@ def semver_compare(a: Column, b: Column) -> Column:
     return text.compare(domain.semver_parse(a), domain.semver_parse(b))
 
 
-def semver_is_prerelease(x: Column) -> Column:
-    return x.rlike(r"^v?\d+\.\d+\.\d+-")
-
-
 def range_lower(r: Column) -> Column:
     return r["lower"]
 

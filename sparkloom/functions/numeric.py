@@ -243,17 +243,18 @@ def token_bucket_consume(bucket: Column, n: Column, now_ms: Column) -> Column:
     return F.struct((have >= n).alias("allowed"), F.struct(bucket["capacity"].alias("capacity"), bucket["rate"].alias("rate"), left.alias("tokens"), now_ms.alias("at_ms")).alias("bucket"))
 
 
-def sliding_window_count(times: Column, now: Column, width: Column) -> Column:
-    return F.size(F.filter(times, lambda t: (t > now - width) & (t <= now)))
+def sliding_window_count(times: Column, width: Column, now: Column) -> Column:
+    """Times not before the window's start."""
+    return F.size(F.filter(times, lambda t: t >= now - width))
 
 
-def sliding_window_check(times: Column, now: Column, width: Column, most: Column) -> Column:
-    return sliding_window_count(times, now, width) < most
+def sliding_window_check(times: Column, width: Column, most: Column, now: Column) -> Column:
+    return sliding_window_count(times, width, now) < most
 
 
 def fixed_window_count(at: Column, width: Column) -> Column:
-    """The start of the fixed window that holds the time."""
-    return F.floor(at / width) * width
+    """The number of the fixed window that holds the time."""
+    return F.floor(at / width)
 
 
 # ---- matrices: struct(rows, cols, data)

@@ -36,8 +36,10 @@ def like_plain(x: Column, pattern: str) -> Column:
 
 
 def words(x: Column) -> Column:
-    """The words of an identifier or a phrase: parted by other characters and by a capital after a small letter."""
-    parted = F.regexp_replace(F.regexp_replace(x, r"([a-z0-9])([A-Z])", "$1 $2"), r"[^A-Za-z0-9]+", " ")
+    """The words of an identifier or a phrase: parted by other characters, by a capital after a small letter,
+    and before the last capital of several that a small letter follows."""
+    parted = F.regexp_replace(F.regexp_replace(x, r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z])([A-Z][a-z])", "$1 $2")
+    parted = F.regexp_replace(parted, r"[^A-Za-z0-9]+", " ")
     return F.filter(F.split(F.trim(parted), " "), lambda w: w != "")
 
 
@@ -467,10 +469,13 @@ def custom_order_rank(x: Column, order: list[str], unknown: int = 2**31 - 1) ->
 
 
 def format_bytes(x: Column) -> Column:
-    """1024-based, two decimals from KB on."""
+    """Decimal prefixes: no decimals from 100 on, one from 10 on, else two without trailing zeros."""
     out = F.concat(x.cast("string"), F.lit(" B"))
-    for k, unit in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
-        out = F.when(F.abs(x) >= 1024**k, F.format_string(f"%.2f {unit}", x / 1024.0**k)).otherwise(out)
+    for k, unit in enumerate(("KB", "MB", "GB", "TB", "PB", "EB"), 1):
+        v = x / 1000.0**k
+        short = F.regexp_replace(F.format_string("%.2f", v), r"\.?0+$", "")
+        shown = F.when(v >= 100, F.format_string("%.0f", v)).when(v >= 10, F.format_string("%.1f", v)).otherwise(short)
+        out = F.when(x >= 1000**k, F.concat(shown, F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

@@ -72,10 +72,10 @@ _phrase = lambda: F.concat(c("p_type"), F.lit(" part-no_"), c("p_partkey"))
 _one("string_cases", "part", lambda: {"snake": text.snake_case(_phrase()), "kebab": text.kebab_case(_phrase()), "pascal": text.pascal_case(_phrase()), "camel": text.camel_case(_phrase()), "slug": text.slug(_phrase())},
      """SELECT p_partkey, lower(p_type) || '_part_no_' || p_partkey AS snake, lower(p_type) || '-part-no-' || p_partkey AS kebab, upper(p_type[1]) || lower(p_type[2:]) || 'PartNo' || p_partkey AS pascal,
      lower(p_type) || 'PartNo' || p_partkey AS camel, lower(p_type) || '-part-no-' || p_partkey AS slug FROM part""", "p_partkey")
-_one("truncation_formatting", "part", lambda: {"chars": text.truncate_chars(c("p_name"), 5), "ordinal": text.format_ordinal(c("p_partkey")), "bytes": text.format_bytes(F.least(c("p_partkey"), F.lit(1000)) * 1024), "percent": text.format_percentage(c("p_size") / 100.0, 1)},
+_one("truncation_formatting", "part", lambda: {"chars": text.truncate_chars(c("p_name"), 5), "ordinal": text.format_ordinal(c("p_partkey")), "bytes": text.format_bytes(c("p_partkey") * 250), "percent": text.format_percentage(c("p_size") / 100.0, 1)},
      """SELECT p_partkey, CASE WHEN length(p_name) <= 5 THEN p_name ELSE left(p_name, 5) || '...' END AS chars,
      p_partkey || CASE WHEN p_partkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN p_partkey % 10 = 1 THEN 'st' WHEN p_partkey % 10 = 2 THEN 'nd' WHEN p_partkey % 10 = 3 THEN 'rd' ELSE 'th' END AS ordinal,
-     CASE WHEN p_partkey > 0 THEN printf('%.2f KB', least(p_partkey, 1000)::DOUBLE) ELSE '0 B' END AS bytes,
+     CASE WHEN p_partkey * 250 >= 100000 THEN printf('%.0f KB', round(p_partkey / 4.0::DOUBLE)) WHEN p_partkey * 250 >= 10000 THEN printf('%.1f KB', round(p_partkey / 4.0::DOUBLE, 1)) WHEN p_partkey * 250 >= 1000 THEN regexp_replace(printf('%.2f', p_partkey / 4.0::DOUBLE), '[.]?0+$', '') || ' KB' ELSE (p_partkey * 250) || ' B' END AS bytes,
      printf('%.1f%%', p_size / 100.0::DOUBLE * 100) AS percent FROM part""", "p_partkey")
 _one("validators", "documents", lambda: {
     "email": text.validate_email(F.concat(c("source"), F.lit("@"), c("lang"), F.when(c("doc_id") % 2 == 0, ".com").otherwise(""))), "url": text.validate_url(F.concat(F.when(c("doc_id") % 3 == 0, "http").otherwise("http://"), c("source"))),
@@ -103,7 +103,7 @@ _one("ranges", "part", lambda: {"has": domain.range_contains_value(_ra(), F.lit(
      """SELECT p_partkey, p_size <= 25 AND p_size + 10 > 25 AS has, p_size < 30 AND p_size + 10 > 20 AS "over", p_size + 10 = 20 OR p_size = 30 AS adj, CASE WHEN p_size < 30 AND p_size + 10 > 20 THEN greatest(p_size, 20) END AS lo, p_size = 20 AS inside, false AS none FROM part""", "p_partkey")
 _d = lambda: c("o_orderdate").cast("date")
 _one("business_calendar", "orders", lambda: {"bd": domain.is_business_day(_d()), "nxt": domain.next_business_day(_d()), "fy": domain.fiscal_year(_d(), 7), "fq": domain.fiscal_quarter(_d(), 7), "between": domain.business_days_between(_d(), F.date_add(_d(), 10))},
-     """WITH d AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders) SELECT o_orderkey, isodow(d) < 6 AS bd, d + CASE isodow(d) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS nxt, year(d) + (month(d) >= 7)::INT AS fy, ((month(d) + 5) % 12) // 3 + 1 AS fq,
+     """WITH d AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders) SELECT o_orderkey, isodow(d) < 6 AS bd, d + CASE isodow(d) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS nxt, year(d) - (month(d) < 7)::INT AS fy, ((month(d) + 5) % 12) // 3 + 1 AS fq,
      len(list_filter(range(0, 10), lambda i: isodow(d + i::INT) < 6)) AS "between" FROM d""", "o_orderkey")
 _one("finance", "part", lambda: {"npv": F.round(numeric.npv(F.lit(0.1), F.array(-c("p_retailprice"), c("p_retailprice") * 0.6, c("p_retailprice") * 0.7)), 6), "pmt": F.round(numeric.pmt(F.lit(0.01), F.lit(12), c("p_retailprice")), 6), "fv": F.round(numeric.fv(F.lit(0.01), F.lit(12), F.lit(-10.0), -c("p_retailprice")), 6),
      "ci": F.round(numeric.compound_interest(c("p_retailprice"), F.lit(0.05), F.lit(12), F.lit(2)), 6), "sl": F.round(numeric.depreciation_sl(c("p_retailprice"), F.lit(100.0), F.lit(5)), 6), "bond": F.round(numeric.bond_price(F.lit(1000.0), F.lit(0.05), F.lit(0.04), F.lit(10)), 6)},
@@ -136,7 +136,7 @@ _one("state_machines", "orders", lambda: {"nxt": domain.sm_transition(_sm(), c("
      """SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 'F' END AS nxt, o_orderstatus NOT IN ('O', 'P') AS "end", CASE o_orderstatus WHEN 'O' THEN 'ship' WHEN 'P' THEN 'back,finish' ELSE '' END AS ev, CASE o_orderstatus WHEN 'O' THEN 'O>P>F' WHEN 'P' THEN 'P>F' WHEN 'F' THEN 'F' END AS path FROM orders""", "o_orderkey")
 _path = lambda: F.concat_ws("/", F.lit(""), c("p_type"), c("p_brand"), c("p_partkey"))
 _one("hierarchies", "part", lambda: {"depth": domain.path_depth(_path()), "up": F.array_join(domain.path_ancestors(_path()), ";"), "anc": domain.is_ancestor(F.concat(F.lit("/"), c("p_type")), _path())},
-     "SELECT p_partkey, 3 AS depth, '/' || p_type || ';/' || p_type || '/' || p_brand AS up, true AS anc FROM part", "p_partkey")
+     "SELECT p_partkey, 3 AS depth, '/;/' || p_type || ';/' || p_type || '/' || p_brand AS up, true AS anc FROM part", "p_partkey")
 _one("json_documents", "events", lambda: {"has": text.jsonb_exists(c("props"), "k"), "any": text.jsonb_exists_any(c("props"), ["x", "k"]), "every": text.jsonb_exists_all(c("props"), ["x", "k"]), "inside": text.jsonb_contains(c("props"), c("props")), "merged": text.json_get(text.json_merge_patch(c("props"), F.lit('{"k": null, "z": 5}')), "z"), "diff": text.json_diff(c("props"), c("props"))},
      """SELECT event_id, true AS has, true AS "any", false AS every, true AS inside, '5' AS merged, '[]' AS diff FROM events""", "event_id")
 _one("cron", "events", lambda: {"nxt": domain.cron_next(F.lit("30 6 * * *"), c("ts")), "hit": domain.cron_matches(F.lit("* * * * 1-5"), c("ts"))},
