@@ -311,7 +311,12 @@ class Join:
         """(links, hubs): links that join the components within clusters, and (node, hub)."""
         pairs = buckets.filter("node <> best.node").filter(_fits("n", "best.n")).groupBy("node", "n", "best").agg(F.count("*").alias("shared"), F.min(_depth("n", "best.n")).alias("depth"))
         best = pairs.filter("shared >= depth").groupBy("node", "n").agg(F.max("best").alias("best"))
-        hubs = settle(best.select("node", "n", F.col("best.node").alias("hub"), F.col("best.n").alias("hub_n")), "hubs")
+        hubs = best.select("node", "n", F.col("best.node").alias("hub"), F.col("best.n").alias("hub_n"))
+        for _ in range(2):  # a hub that has a hub passes its nodes on, so a group of near copies has one cluster
+            hubs = settle(hubs, "hubs")
+            up = hubs.select(F.col("node").alias("hub"), F.col("hub").alias("up"), F.col("hub_n").alias("up_n"))
+            hubs = hubs.join(up, "hub", "left").select("node", "n", F.coalesce("up", "hub").alias("hub"), F.coalesce("up_n", "hub_n").alias("hub_n"))
+        hubs = settle(hubs, "hubs")
         inside = hubs.select("node", "n", "hub").union(hubs.select("hub", "hub_n", "hub")).distinct()  # a hub is in its own cluster
         blocks = inside.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"), F.count("*").alias("m")).filter("m > 1")
         own = inside.join(blocks, "hub").select("node", F.col("hub").alias("a"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
@@ -375,9 +380,13 @@ class Join:
         # then all pairs of nodes that share enough and are neither in one cluster nor in one component yet
         known = settle(hubs.join(roots, "node", "full"), "known")
         rest = buckets.select("token", "node", "n").join(known, "node", "left").withColumns({"root": F.coalesce("root", "node"), "hub": F.coalesce("hub", "node")})
-        mixed = rest.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("hub").alias("h0"), F.max("hub").alias("h1"))
-        mixed = mixed.filter("r0 <> r1 AND h0 <> h1").select("token")
-        rest = settle(rest.join(mixed, "token"), "mixed-buckets")
+        rest = settle(rest, "named-buckets")
+        for _ in range(2):
+            mixed = rest.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("hub").alias("h0"), F.max("hub").alias("h1"))
+            rest = rest.join(mixed.filter("r0 <> r1 AND h0 <> h1").select("token"), "token", "left_semi")
+            # a node shares enough with another only if it has so many such tokens
+            enough = rest.groupBy("node").agg(F.count("*").alias("rows"), F.min(_depth("n", "n")).alias("depth")).filter("rows >= depth").select("node")
+            rest = settle(rest.join(enough, "node", "left_semi"), "mixed-buckets")
         x, y = rest.alias("x"), rest.alias("y")
         cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & (F.col("x.hub") != F.col("y.hub")) & _fits("x.n", "y.n"))
         cross = cross.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(
