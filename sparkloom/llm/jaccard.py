@@ -9,7 +9,7 @@ share so many prefix tokens under it, with fitting sizes, are candidates. For ea
 other orders must intersect as well, and only then are the sets compared.
 
 A group of near copies is not expanded into pairs of rows: each node first joins the cluster of the most central node
-that it shares enough with (the one with most frequent tokens in its prefix, for what edits add is rare), and a
+that it shares enough with (the one with the highest counts in its prefix, for what edits add is rare), and a
 cluster's sets are compared in blocks, as
 products of membership matrices, of which only links that join components are kept. Then nodes that are in different
 clusters and still in different components are compared where they share a bucket.
@@ -188,23 +188,20 @@ def _members(batches):
 
 
 class FirstOrder:
-    """Tokens in the order that puts frequent ones last, the most frequent at the very end."""
+    """Tokens in the order of their counts, as far as the table tells them apart, then of a hash."""
 
     def __init__(self, counts: np.ndarray):
         mean = float(counts.mean())
         self.counts = counts.astype(np.uint32)
         self.frequent = mean + FREQUENT_DEVIATIONS * mean**0.5 + 2
 
-    def prefix(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens of the set's prefix, and which of them are frequent."""
-        key = K.mix(s, 1) >> np.uint64(1)
+    def prefix(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """The tokens of the set's prefix, which of them are frequent, and how high their counts are."""
         counts = self.counts[_counter(s)]
-        frequent = counts > self.frequent
-        late = np.minimum(counts[frequent], np.uint32((1 << 30) - 1)).astype(np.uint64)
-        key[frequent] = np.uint64(1 << 63) | (late << np.uint64(32)) | (key[frequent] >> np.uint64(32))
+        key = (counts.astype(np.uint64) << np.uint64(32)) | (K.mix(s, 1) >> np.uint64(32))
         size = prefix_length(len(s), DEPTH)
         first = np.argpartition(key, size - 1)[:size]
-        return s[first], frequent[first]
+        return s[first], counts[first] > self.frequent, int(16 * min(float(counts[first].mean()), 1e8))
 
 
 def _buckets(tokens: DataFrame) -> DataFrame:
@@ -273,12 +270,12 @@ class Join:
                             pa.array(np.repeat(np.array([r[0] for r in rows], np.int64), sizes)),
                             pa.array(np.repeat(np.array([r[1] for r in rows], np.int64), sizes)),
                             pa.array(np.concatenate([r[3] for r in rows])),
-                            pa.array(np.repeat(np.array([1000 * int(r[3].sum()) // len(r[3]) for r in rows], np.int32), sizes)),
+                            pa.array(np.repeat(np.array([r[4] for r in rows], np.int64), sizes)),
                         ],
                         names=["token", "node", "n", "frequent", "central"],
                     )
 
-        return self.docs.mapInArrow(run, "token long, node long, n long, frequent boolean, central int")
+        return self.docs.mapInArrow(run, "token long, node long, n long, frequent boolean, central long")
 
     def gathered(self, places: DataFrame, nodes: DataFrame, keys: list[str], order: str) -> DataFrame:
         """The sets of the nodes at their places, dealt out by ``keys`` and sorted by ``order`` within them.
