@@ -642,3 +642,79 @@ def format_duration(seconds: Column) -> Column:
 
 def words_alike(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a.split(), b.split(), autojunk=False).ratio()
+
+
+@vectorized("string")
+def metaphone(word):
+    """Philips's original code: consonants by their sound, vowels only at the start."""
+    w = re.sub("[^A-Z]", "", word.upper())
+    w = re.sub(r"([^C])\1+", r"\1", w)
+    for start, by in (("KN", "N"), ("GN", "N"), ("PN", "N"), ("AE", "E"), ("WR", "R"), ("X", "S"), ("WH", "W")):
+        if w.startswith(start):
+            w = by + w[len(start) :]
+            break
+    if w.endswith("MB"):
+        w = w[:-1]
+    out, i, vowels, front = "", 0, set("AEIOU"), set("EIY")
+    at = lambda k: w[k] if 0 <= k < len(w) else ""
+    while i < len(w):
+        c, n = w[i], at(i + 1)
+        if c in vowels:
+            out += c if i == 0 else ""
+        elif c in "FJLMNR":
+            out += c
+        elif c == "B":
+            out += "B"
+        elif c == "C":
+            if w[i : i + 3] == "CIA" or (n == "H" and at(i - 1) != "S"):
+                out += "X"
+                i += n == "H"
+            elif n in front:
+                out += "" if at(i - 1) == "S" else "S"
+            else:
+                out += "K"
+                i += n in ("K", "H")
+        elif c == "D":
+            out += "J" if n == "G" and at(i + 2) in front else "T"
+            i += n == "G" and at(i + 2) in front
+        elif c == "G":
+            if n == "H":
+                out += "K" if at(i + 2) in vowels else ""
+                i += 1
+            elif n == "N":
+                out += "" if i + 2 >= len(w) or w[i:] == "GNED" else "K"
+            else:
+                out += "J" if n in front else "K"
+        elif c == "H":
+            out += "H" if n in vowels and at(i - 1) not in set("CSPTG") else ""
+        elif c == "K":
+            out += "K"
+        elif c == "P":
+            out += "F" if n == "H" else "P"
+            i += n == "H"
+        elif c == "Q":
+            out += "K"
+        elif c == "S":
+            if n == "H" or w[i : i + 3] in ("SIO", "SIA"):
+                out += "X"
+                i += n == "H"
+            else:
+                out += "S"
+        elif c == "T":
+            if n == "H":
+                out += "0"
+                i += 1
+            elif w[i : i + 3] in ("TIO", "TIA"):
+                out += "X"
+            else:
+                out += "" if w[i : i + 3] == "TCH" else "T"
+        elif c == "V":
+            out += "F"
+        elif c in "WY":
+            out += c if n in vowels else ""
+        elif c == "X":
+            out += "KS"
+        elif c == "Z":
+            out += "S"
+        i += 1
+    return out

@@ -60,3 +60,8 @@ def test_others(spark):
 def test_registry_names_are_functions():
     found = registry.functions()
     assert len(found) > 380 and all(map(callable, found.values()))
+
+
+def test_metaphone():
+    got = {w: extra.metaphone.plain(w) for w in ("Knight", "Philip", "Thumb", "Nation", "Judge", "Xavier")}
+    assert got == {"Knight": "NT", "Philip": "FLP", "Thumb": "0M", "Nation": "NXN", "Judge": "JJ", "Xavier": "SFR"}
