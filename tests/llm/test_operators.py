@@ -152,6 +152,23 @@ def test_op2_finds_passages_and_paraphrases(spark):
     assert decontaminate.contamination(df, bench.limit(0)).count() == 0
 
 
+def test_op2_recall_does_not_fall_with_the_size_of_the_benchmark(spark):
+    r = random.Random(11)
+    words = [f"{r.choice(VOCAB).strip('.,')}{k}" for k in range(20_000)]
+    items = [r.choices(words, k=r.randint(15, 40)) for _ in range(1200)]
+    other = [[w if r.random() < 0.85 else r.choice(words) for w in item] for item in items]
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)] + [(5000 + k, " ".join(o)) for k, o in enumerate(other)], "doc_id long, text string")
+    got = set(rows_of(decontaminate.contamination(docs, bench).select("doc_id", "item_id")))
+    assert {(k, k) for k in range(len(items))} <= got
+    literal = set()
+    for k, o in enumerate(other):
+        item = decontaminate.Item.of(k, " ".join(items[k]))
+        if item.lcs(decontaminate.text_words(" ".join(o)).tolist()) >= decontaminate.LITERAL * len(item.words):
+            literal.add((5000 + k, k))
+    assert len(literal) > 300 and len(literal & got) >= 0.99 * len(literal)
+
+
 def test_op2_lcs_is_the_longest_common_subsequence():
     def brute(a, b):
         row = [0] * (len(b) + 1)
