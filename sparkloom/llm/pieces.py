@@ -122,6 +122,8 @@ class PieceTable:
 
     def learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         """Distinct new pieces with their hashes."""
+        if len(pieces) > 0.6 * (1 << self.bits):
+            raise ValueError(f"{len(pieces)} pieces do not fit a table of {1 << self.bits}")
         if self.held + len(pieces) > 0.6 * (1 << self.bits):
             self.clear()
         rows = self.encode(pieces)
@@ -148,16 +150,23 @@ class PieceTable:
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pieces' ids in a row, and how many each has."""
         hashes = K.hash_spans(K.prefix_sums(data), starts, ends) | np.uint64(1)
+        raw = data.tobytes()
+        size = 1 << self.bits - 1  # so many always fit, known and new ones
+        found = [self._slice(raw, hashes[k : k + size], starts[k : k + size], ends[k : k + size]) for k in range(0, max(len(hashes), 1), size)]
+        return tuple(map(np.concatenate, zip(*found, strict=True))) if len(found) > 1 else found[0]
+
+    def _slice(self, raw: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slots = self.find(hashes)
-        for _ in range(3):
+        for _ in range(2):  # a table that starts anew has lost the known ones, which then fit
             missing = np.flatnonzero(slots < 0)
             if not len(missing):
                 break
             fresh, at = np.unique(hashes[missing], return_index=True)
             at = missing[at]
-            raw = data.tobytes()
             self.learn(fresh, [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             slots = self.find(hashes)
+        if len(slots) and slots.min() < 0:
+            raise RuntimeError("a piece is missing from the table")
         counts = self.count[slots].astype(np.int64)
         ends_at = np.cumsum(counts)
         index = np.repeat(self.first[slots] - (ends_at - counts), counts) + np.arange(ends_at[-1] if len(ends_at) else 0)

@@ -15,7 +15,7 @@ P = pytest.importorskip("public_tokenizers")
 from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from sparkloom.llm import bpe, decontaminate, htmltext, jaccard, quality, repetition, secrets, tokenfiles, toxicity, warc  # noqa: E402
+from sparkloom.llm import bpe, decontaminate, htmltext, jaccard, pieces, quality, repetition, secrets, tokenfiles, toxicity, warc  # noqa: E402
 from sparkloom.llm import textkernel as K  # noqa: E402
 from sparkloom.llm.components import components  # noqa: E402
 
@@ -317,6 +317,15 @@ def test_op7_and_op5_agree_with_the_library_on_odd_texts():
         assert next(encoder.encode([text])).tolist()[:-1] == word.encode(text, add_special_tokens=False).ids
 
 
+def test_piece_table_holds_texts_of_more_pieces_than_it_has_room_for():
+    table = pieces.PieceTable(lambda found: [list(p) for p in found], "<i4", bits=8)
+    words = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    for text in (" ".join(words[:100]), " ".join(words[:160]), " ".join(words * 3)):
+        data = np.frombuffer(text.encode(), np.uint8)
+        (got,) = table.texts(pieces.word_pieces, data, np.array([0, len(data)]))
+        assert bytes(got.astype(np.uint8).tolist()).decode() == text.replace(" ", "")
+
+
 @pytest.mark.parametrize(("module", "column"), [(toxicity, "toxic"), (quality, "quality")])
 def test_op8_op9_score_every_row(docs, labels, module, column):
     got = module.classify(docs, labels).collect()
