@@ -169,6 +169,19 @@ def test_op2_recall_does_not_fall_with_the_size_of_the_benchmark(spark):
     assert len(literal) > 300 and len(literal & got) >= 0.99 * len(literal)
 
 
+def test_op2_unknown_words_weigh_no_more_in_a_larger_corpus():
+    seen = "one two three four five six seven eight nine ten red green blue black white grey pink brown gold teal".split()
+    item = decontaminate.Item.of(1, " ".join(seen) + " neverseen")
+    text = " ".join(w if k % 2 else w + " x" for k, w in enumerate(seen[:16]))
+    words = decontaminate.text_words(text)
+    for scale in (1, 300, 10**6):
+        r = decontaminate.Retriever(decontaminate.Vocabulary(item.words), [item])
+        counts = np.where(r.vocabulary.hashes == item.words[-1], 0, 50 * scale)
+        r.weigh(counts, 2000 * scale)
+        r.project(np.eye(len(r.idf), dtype=np.float32))
+        assert {c[3] for c in r.candidates(words, np.array([0, len(words)]))} == {0}
+
+
 def test_op2_lcs_is_the_longest_common_subsequence():
     def brute(a, b):
         row = [0] * (len(b) + 1)
