@@ -2,7 +2,8 @@
 
 A scheme parts plain texts (Latin letters, digits, ASCII punctuation, single blanks and line ends, without what a
 pre-tokenizer treats specially) into pieces by byte classes alone. Pieces are looked up by hash in an open-addressing
-table of numpy arrays, whose memory is fixed; a full table starts anew. Texts that are not plain are left to the caller.
+table of numpy arrays and compared byte by byte with what the table holds; its memory is fixed, and a full table starts
+anew. Texts that are not plain are left to the caller.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from . import textkernel as K
 
 #: Longest piece that a table holds; texts with a longer one are left to the caller.
 LONGEST = 8192
+#: Bytes of pieces that a table holds before it starts anew.
+RAW_BYTES = 64 << 20
 BLANK, BREAK, LETTER, DIGIT, MARK, OTHER = range(6)
 
 
@@ -104,6 +107,8 @@ class PieceTable:
         size = 1 << self.bits
         self.keys, self.first, self.count = np.zeros(size, np.uint64), np.zeros(size, np.int32), np.zeros(size, np.uint16)
         self.pool, self.used, self.held = np.zeros(1 << 18, self.kind), 0, 0
+        self.begin, self.size = np.zeros(size, np.int64), np.zeros(size, np.uint16)  # each piece's bytes
+        self.raw, self.raw_used = np.zeros(1 << 20, np.uint8), 0
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The slot of each hash, or -1."""
@@ -124,7 +129,7 @@ class PieceTable:
         """Distinct new pieces with their hashes."""
         if len(pieces) > 0.6 * (1 << self.bits):
             raise ValueError(f"{len(pieces)} pieces do not fit a table of {1 << self.bits}")
-        if self.held + len(pieces) > 0.6 * (1 << self.bits):
+        if self.held + len(pieces) > 0.6 * (1 << self.bits) or self.raw_used > RAW_BYTES:
             self.clear()
         rows = self.encode(pieces)
         counts = np.array([len(r) for r in rows], np.int64)
@@ -134,6 +139,12 @@ class PieceTable:
         self.pool[self.used : self.used + len(ids)] = ids
         first = self.used + np.cumsum(counts) - counts
         self.used += len(ids)
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        while self.raw_used + int(sizes.sum()) > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros(len(self.raw), np.uint8)])
+        begin = self.raw_used + np.cumsum(sizes) - sizes
+        self.raw[self.raw_used : self.raw_used + int(sizes.sum())] = np.frombuffer(b"".join(pieces), np.uint8)
+        self.raw_used += int(sizes.sum())
         self.held += len(pieces)
         mask = np.int64((1 << self.bits) - 1)
         slot = (hashes >> np.uint64(40)).astype(np.int64) & mask
@@ -144,18 +155,18 @@ class PieceTable:
             won = free[one]
             at = slot[won]
             self.keys[at], self.first[at], self.count[at] = hashes[won], first[won], counts[won]
+            self.begin[at], self.size[at] = begin[won], sizes[won]
             todo = np.setdiff1d(todo, won, assume_unique=True)
             slot[todo] = (slot[todo] + 1) & mask
 
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pieces' ids in a row, and how many each has."""
         hashes = K.hash_spans(K.prefix_sums(data), starts, ends) | np.uint64(1)
-        raw = data.tobytes()
         size = 1 << self.bits - 1  # so many always fit, known and new ones
-        found = [self._slice(raw, hashes[k : k + size], starts[k : k + size], ends[k : k + size]) for k in range(0, max(len(hashes), 1), size)]
+        found = [self._slice(data, hashes[k : k + size], starts[k : k + size], ends[k : k + size]) for k in range(0, max(len(hashes), 1), size)]
         return tuple(map(np.concatenate, zip(*found, strict=True))) if len(found) > 1 else found[0]
 
-    def _slice(self, raw: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _slice(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slots = self.find(hashes)
         for _ in range(2):  # a table that starts anew has lost the known ones, which then fit
             missing = np.flatnonzero(slots < 0)
@@ -163,14 +174,32 @@ class PieceTable:
                 break
             fresh, at = np.unique(hashes[missing], return_index=True)
             at = missing[at]
-            self.learn(fresh, [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            self.learn(fresh, [data[a:b].tobytes() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             slots = self.find(hashes)
         if len(slots) and slots.min() < 0:
             raise RuntimeError("a piece is missing from the table")
         counts = self.count[slots].astype(np.int64)
         ends_at = np.cumsum(counts)
         index = np.repeat(self.first[slots] - (ends_at - counts), counts) + np.arange(ends_at[-1] if len(ends_at) else 0)
-        return self.pool[index], counts
+        ids = self.pool[index]
+        other = self._unlike(data, slots, starts, ends)
+        if len(other):  # pieces whose hash is that of other bytes
+            rows = np.split(ids, ends_at[:-1])
+            for k, row in zip(other.tolist(), self.encode([data[starts[k] : ends[k]].tobytes() for k in other.tolist()]), strict=True):
+                rows[k] = np.asarray(row, self.kind)
+            ids, counts = np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
+        return ids, counts
+
+    def _unlike(self, data: np.ndarray, slots: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The pieces whose bytes are not those that their slot was filled with."""
+        sizes = ends - starts
+        wrong = self.size[slots] != sizes
+        sizes = np.where(wrong, 0, sizes)
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(edges[-1])
+        differ = np.flatnonzero(data[at + np.repeat(starts - edges[:-1], sizes)] != self.raw[at + np.repeat(self.begin[slots] - edges[:-1], sizes)])
+        wrong[np.searchsorted(edges, differ, "right") - 1] = True
+        return np.flatnonzero(wrong)
 
     def texts(self, scheme, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray | None]:
         """The ids of each text of a chunk; None for a text that is not plain."""

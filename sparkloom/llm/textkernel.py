@@ -2,12 +2,15 @@
 
 A batch is walked in chunks of about ``CHUNK_BYTES`` so that the numpy temporaries stay
 in cache and memory is bounded by the chunk (or by one longer text). Spans are hashed by
-polynomial prefix sums modulo 2**64: ``sum(T[byte] * P**k)``, shifted back to the span's
-start with the inverse of ``P``, so equal spans have equal hashes wherever they stand.
+polynomial prefix sums modulo the prime 2**31 - 1 under two random bases, shifted back to the
+span's start with the inverse powers, so equal spans have equal hashes wherever they stand, and
+two given spans of n bytes or less collide for at most (n / 2**31)**2 of the pairs of bases,
+whatever their structure. Sums start anew every ``SEGMENT`` bytes, which bounds the tables of powers.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,31 +18,38 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 18
+SEGMENT = 1 << 20
 _U = np.uint64
-_P = 0x9E3779B97F4A7C15 | 1
-_Q = 0xC2B2AE3D27D4EB4F | 1
 _MASK = (1 << 64) - 1
+_PRIME = (1 << 31) - 1
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_T = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_T_LOWER = _T.copy()
-_T_LOWER[65:91] = _T[97:123]
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``base**k`` and its inverse for k below n at least, modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES * 2)
-        inverse = pow(base, -1, 1 << 64)
-        up, down = np.ones(size, np.uint64), np.ones(size, np.uint64)
-        up[1:], down[1:] = _U(base), _U(inverse)
-        np.multiply.accumulate(up, out=up)
-        np.multiply.accumulate(down, out=down)
-        _powers[base] = have = (up, down)
-    return have
+_BASES = np.random.Generator(np.random.PCG64(20240607)).integers(1 << 20, _PRIME - 1, 2).tolist()
+_BYTES = np.arange(1, 257, dtype=np.uint64)
+_BYTES_LOWER = _BYTES.copy()
+_BYTES_LOWER[65:91] = _BYTES[97:123]
+
+
+def _reduce(x: np.ndarray) -> np.ndarray:
+    """Modulo the prime."""
+    p, shift = _U(_PRIME), _U(31)
+    x = (x & p) + (x >> shift)
+    x = (x & p) + (x >> shift)
+    return np.where(x >= p, x - p, x)
+
+
+@functools.cache
+def _powers(lane: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lane's base and its inverse to the powers up to SEGMENT."""
+    out = []
+    for base in (_BASES[lane], pow(_BASES[lane], -1, _PRIME)):
+        table, size = np.ones(SEGMENT + 1, np.uint64), 1
+        while size < len(table):
+            some = table[: min(size, len(table) - size)]
+            table[size : size + len(some)] = _reduce(some * _U(pow(base, size, _PRIME)))
+            size *= 2
+        out.append(table)
+    return out[0], out[1]
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -94,28 +104,69 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def prefix_sums(data: np.ndarray, lower: bool = False, table: np.ndarray | None = None) -> np.ndarray:
-    up, _ = powers(_P, len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    values = np.take(table if table is not None else _T_LOWER if lower else _T, data)
-    values *= up[: len(data)]
-    np.cumsum(values, out=sums[1:])
-    return sums
-
-
-def hash_spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    _, down = powers(_P, len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts])
+def prefix_sums(data: np.ndarray, lower: bool = False) -> list[np.ndarray]:
+    """For both bases the sums of ``(byte + 1) * base**k`` before each byte; each SEGMENT has its own, one entry longer."""
+    values = np.take(_BYTES_LOWER if lower else _BYTES, data)
+    pieces = -(-len(data) // SEGMENT) or 1
+    out = []
+    for lane in range(2):
+        up, _ = _powers(lane)
+        sums = np.zeros(len(data) + pieces, np.uint64)
+        for k in range(pieces):
+            some = values[k * SEGMENT : (k + 1) * SEGMENT]
+            np.cumsum(some * up[: len(some)], out=sums[k * (SEGMENT + 1) + 1 : k * (SEGMENT + 1) + 1 + len(some)])
+        out.append(sums)
+    return out
+
+
+def _span(sums: list[np.ndarray], start: int, end: int) -> int:
+    """The combined polynomials of one span, over as many segments as it has."""
+    out = 0
+    for lane, s in enumerate(sums):
+        _, down = _powers(lane)
+        value, at = 0, start
+        while at < end:
+            stop = min(end, (at // SEGMENT + 1) * SEGMENT)
+            piece = at // SEGMENT
+            part = int(s[stop + piece]) - int(s[at + piece])
+            value += part * int(down[at % SEGMENT]) * pow(_BASES[lane], at - start, _PRIME)
+            at = stop
+        out = out << 31 | value % _PRIME
+    return out
+
+
+def hash_spans(sums: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    a, b, long = starts, ends, ()
+    if len(sums[0]) > SEGMENT + 1:
+        piece = starts // SEGMENT
+        long = np.flatnonzero(ends > (piece + 1) * SEGMENT)
+        a, b = starts + piece, np.minimum(ends, (piece + 1) * SEGMENT) + piece
+        starts = starts % SEGMENT
+    lanes = [_reduce(_reduce(s[b] - s[a]) * _powers(lane)[1][starts]) for lane, s in enumerate(sums)]
+    out = (lanes[0] << _U(31)) | lanes[1]
+    for k in long:
+        out[k] = _span(sums, int(a[k] - piece[k]), int(ends[k]))
+    return mix(out)
+
+
+def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return mix(x * _U(0xD6E8FEB86659FD93) + ((y << _U(32)) | (y >> _U(32))))
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
-    """A hash for each run of n consecutive hashes; entry i is that of hashes[i : i + n]."""
-    if len(hashes) < n:
+    """A hash for each run of n consecutive hashes; entry i is that of hashes[i : i + n]. Runs of 1, 2, 4 ... are
+    hashed in turn from two halves, and those that n is the sum of put together."""
+    count = len(hashes) - n + 1
+    if count < 1:
         return np.zeros(0, np.uint64)
-    up, down = powers(_Q, len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
-    return mix((sums[n:] - sums[:-n]) * down[: len(hashes) - n + 1], n)
+    whole, done, level, size = None, 0, hashes, 1
+    while True:
+        if n & size:
+            some = level[done : done + count]
+            whole, done = some if whole is None else _pair(whole, some), done + size
+        if 2 * size > n:
+            return mix(whole, n)
+        level, size = _pair(level[:-size], level[size:]), 2 * size
 
 
 def window_owner(ranges: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -222,6 +222,49 @@ def test_op3_chains_and_groups(spark):
     assert kept == {c for _, _, c in brute_components(rows)}
 
 
+def test_op3_blocks_of_a_large_hub(spark, monkeypatch):
+    """Two families around one base: their members are similar among themselves, not to the hub or the other family."""
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 4)
+    monkeypatch.setattr(jaccard, "STAR_NODES", 3)
+    r, rows, base = random.Random(8), [], prose(260, 1).split()
+    for family in range(3):
+        own = [w if not family or not 20 * family <= k % 60 < 20 * family + 6 else f"f{family}x{k}" for k, w in enumerate(base)]
+        for copy in range(15):
+            words = list(own)
+            words[r.randrange(len(words))] = f"c{family}x{copy}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collections.Counter(rows_of(jaccard.jaccard_components(df))) == brute_components(rows)
+
+
+def test_op3_keep_one_of_repeated_ids_null_ids_and_clashing_columns(spark):
+    near = " ".join(BASE.split()[:-1])
+    rows = [(5, BASE), (5, prose(90, 77)), (7, near), (5, BASE), (None, near), (None, prose(50, 78)), (8, None), (8, ""), (9, " "), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as `row`", "2 as number", "3 as `id`", "4 as `key`", "5 as _row", "6 as one", "'x' as `a.b`")
+    out = jaccard.keep_one(df)
+    assert out.columns == df.columns
+    got = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    assert got == collections.Counter([(5, BASE), (5, prose(90, 77)), (None, prose(50, 78)), (8, None), (8, ""), (9, " "), (8, None)])
+    assert jaccard.keep_one(df.limit(0)).count() == 0
+
+
+def test_op3_shared_needed_is_a_bound():
+    """For random sets just similar enough, prefixes under any order share what the bound says."""
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        n, m = sorted(rng.integers(1, 120, 2).tolist())
+        common = -(-80 * (n + m) // 180)
+        if common > n or 100 * n < 80 * m:
+            continue
+        tokens = rng.permutation(1000).astype(np.uint64)
+        a, b = tokens[:n], np.concatenate([tokens[:common], tokens[500 : 500 + m - common]])
+        assert jaccard.similar(np.sort(a), np.sort(b))
+        assert jaccard.sketches_meet(n, jaccard.sketch(a), m, jaccard.sketch(b))
+        for depth in (1, jaccard.DEPTH):
+            first = lambda s, depth=depth: set(np.sort(K.mix(s, 7))[: jaccard.prefix_length(len(s), depth)].tolist())
+            assert len(first(a) & first(b)) >= jaccard.shared_needed(n, m, depth) >= min(depth, -(-80 * m // 100))
+
+
 def test_op3_similar_is_exact_at_the_threshold():
     make = lambda *parts: np.unique(np.concatenate([K.mix(np.arange(a, b, dtype=np.uint64)) for a, b in parts]))
     assert jaccard.similar(make((0, 80)), make((0, 100)))
@@ -418,6 +461,58 @@ def test_op10_repeated_runs_against_brute_force():
         assert (htmltext.repeated_runs(tokens, page) == want).all()
 
 
+def thue_morse(n):
+    word, other = "a", "b"
+    for _ in range(n):
+        word, other = word + other, other + word
+    return word, other
+
+
+def test_structured_words_do_not_collide(spark):
+    """A Thue-Morse word and its complement: equal under any polynomial hash modulo a power of two."""
+    a, b = thue_morse(12)
+    rows = [(1, f"{a}\n{b}"), (2, f"{a} {b}"), (3, a), (4, b), (5, f"{a} {a}\n{b}\n{a} {a}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collections.Counter(rows_of(jaccard.jaccard_components(df))) == brute_components(rows)
+    lines = {r.doc_id: r.n_dup_lines for r in repetition.repetition_coverage(df).collect()}
+    assert lines == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1}
+    byte, word = Tokenizer.from_file(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    back = {r.doc_id: r.ids for r in bpe.encode(df, P.path("byte_bpe_50k.json")).collect()}
+    assert back == {i: byte.encode(t, add_special_tokens=False).ids for i, t in rows}
+    encoder = tokenfiles.Encoder(bpe.read_definition(P.path("word_bpe_49k.json")))
+    for _, t in rows:
+        assert next(encoder.encode([t])).tolist()[:-1] == word.encode(t, add_special_tokens=False).ids
+
+
+def test_pieces_and_lines_with_equal_hashes_are_told_apart(monkeypatch):
+    """With hashes of two bits all is decided by the bytes."""
+    real = K.hash_spans
+    monkeypatch.setattr(K, "hash_spans", lambda *a: K.mix(real(*a) & np.uint64(3)))
+    table = pieces.PieceTable(lambda found: [list(p) for p in found], "<i4", bits=8)
+    text = " ".join(a + b for a in "abcdef" for b in "uvwxyz") * 2
+    data = np.frombuffer(text.encode(), np.uint8)
+    (got,) = table.texts(pieces.word_pieces, data, np.array([0, len(data)]))
+    assert bytes(got.astype(np.uint8).tolist()).decode() == text.replace(" ", "")
+    data = np.frombuffer(b"a\nb\nc\nd\ne\nf\na\nf\nf", np.uint8)
+    assert repetition.measure(data, np.array([0, len(data)]))["n_dup_lines"].tolist() == [3]
+
+
+def test_kernel_hashes_across_segments(monkeypatch):
+    monkeypatch.setattr(K, "SEGMENT", 64)
+    K._powers.cache_clear()
+    try:
+        rng = np.random.default_rng(3)
+        data = rng.integers(0, 256, 1000).astype(np.uint8)
+        data[700:900] = data[37:237]
+        starts = np.array([37, 700, 37, 700, 64, 727, 128])
+        ends = np.array([237, 900, 100, 763, 128, 791, 1000])
+        h = K.hash_spans(K.prefix_sums(data), starts, ends)
+        assert h[0] == h[1] and h[2] == h[3] and h[4] == h[5] and len(set(h.tolist())) == 4
+    finally:
+        monkeypatch.undo()
+        K._powers.cache_clear()
+
+
 def test_kernel_spans_and_long_texts():
     texts = pa.array(["", None, "a  b", "x" * 700_000 + " y", "ä ö"])
     out = []
