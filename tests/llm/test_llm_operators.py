@@ -445,20 +445,64 @@ def test_op10_main_text(spark):
     assert htmltext.main_text(df.limit(0)).count() == 0
 
 
-def test_op10_repeated_runs_against_brute_force():
+def test_op10_names_are_matched_whole_and_headings_stay(spark):
+    page = (
+        "<article><h2 id='related-work'>Related work</h2><h3 class='share'>Share</h3><div class='share-price-table'>price one</div>"
+        "<section class='comment-on-law'>on law</section><div class='post-header'>by someone</div><div class='site-comments'>no</div>"
+        "<div class='relatedPosts'>no</div><div id='ad-1'>no</div><p class=\"newsletter-signup box\">no</p><div class='cookie notice'>no</div>end</article>"
+    )
+    assert htmltext.extract([page]) == ["Related work\nShare\nprice one\non law\nby someone\nend"]
+
+
+def test_op10_equal_pages_notices_and_copied_articles():
+    text = " ".join(f"w{k}" for k in range(60))
+    assert htmltext.extract([f"<p>{text}</p>"] * 3 + ["<p>other</p>"]) == [text] * 3 + ["other"]
+    own = [f"<article><p>{prose(40, 500 + k)}</p><p>please sign up for our letter with one click here</p></article>" for k in range(10)]
+    assert htmltext.extract(own) == [prose(40, 500 + k) for k in range(10)]
+    assert all("sign up" in t for t in htmltext.extract(own[:7]))
+    copies = [f"<article><p>{text}</p><p>note {k} of its own, quite short</p></article>" for k in range(10)]
+    assert all(t.startswith(text) for t in htmltext.extract(copies))
+    long = " ".join(f"w{k}" for k in range(htmltext.COPY_RUN))
+    assert htmltext.extract([f"<p>{long}</p><p>a{k}</p>" for k in range(3)]) == [f"{long}\na{k}" for k in range(3)]
+
+
+def test_op10_shards_give_what_one_suffix_array_of_the_host_gives(spark, monkeypatch):
+    r = random.Random(6)
+    menu, pages = " ".join(f"m{k}" for k in range(14)), []
+    for k in range(60):
+        rare = " ".join(f"r{k // 2}x{j}" for j in range(12))  # on two pages each
+        body = f"<p>{prose(r.randint(0, 30), 900 + k)}</p><p>{rare}</p><div>{menu} {prose(3, 300 + k)}</div>"
+        pages.append(f"<article><p>{prose(20, 40 + k)}</p><p>read more in our great archive of old texts</p></article>" if k % 3 else f"<body>{body}</body>")
+    rows = [(k, f"http://h/{k}", p) for k, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = htmltext.extract(pages)
+    assert not any(f"{menu[:20]}" in t or "great archive" in t for t in whole) and any(whole)
+    for size in (250, 7):
+        monkeypatch.setattr(htmltext, "SHARD_PAGES", size)
+        assert [x.text for x in htmltext.main_text(df).orderBy("page_id").collect()] == whole
+
+
+def test_op10_suffix_array_against_brute_force():
     for seed in range(30):
         r = random.Random(seed)
-        tokens = np.array([r.randint(1, 3) for _ in range(160)])
-        page = np.sort(np.array([r.randint(0, 5) for _ in range(160)]))
+        n = r.randint(1, 160)
+        tokens = np.array([r.randint(1, 3) for _ in range(n)])
+        page = np.sort(np.array([r.randint(0, 5) for _ in range(n)]))
+        suffix = lambda i: tuple(tokens[i : np.searchsorted(page, page[i], "right")])  # noqa: B023, E731
+        order, common = htmltext.suffix_array(tokens, page)
+        assert sorted(order.tolist()) == list(range(n)) and [suffix(i) for i in order] == sorted(map(suffix, range(n)))
+        for k in range(1, n):
+            x, y = suffix(order[k - 1]), suffix(order[k])
+            assert common[k] == next((j for j, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
         where = collections.defaultdict(set)
-        at = [i for i in range(153) if page[i] == page[i + 7]]
+        at = [i for i in range(n - 7) if page[i] == page[i + 7]]
         for i in at:
             where[tuple(tokens[i : i + 8])].add(page[i])
-        want = np.zeros(160, bool)
+        want = np.zeros(n, bool)
         for i in at:
             if len(where[tuple(tokens[i : i + 8])]) > 1:
                 want[i : i + 8] = True
-        assert (htmltext.repeated_runs(tokens, page) == want).all()
+        assert (htmltext.covered_by(htmltext.repeated_starts(tokens, page)) == want).all()
 
 
 def thue_morse(n):
