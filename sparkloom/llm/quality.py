@@ -5,8 +5,9 @@ Gaussian kernel). Each partition sums its part of the normal equations, one sum
 sums and solves them. Scores of left-out folds are calibrated by isotonic regression. Scoring is one narrow pass.
 
 Defined cases: a null or empty text is scored by its (zero) statistics; a null ``doc_id`` stays null, is not held
-out and never learnt from; a null label is not learnt from; repeated rows are each scored; without any usable label
-every score is 0.5. Only the id and the text are read from ``docs``, whatever else it holds.
+out and never learnt from; a null label is not learnt from; repeated rows are each scored, and kept or rejected, alike;
+without any usable label every score is 0.5; an empty table gives an empty result. Only the id and the text are read
+from ``docs``, whatever else it holds; ``keep_good`` hands all columns on, whatever their names.
 """
 
 from __future__ import annotations
@@ -132,10 +133,11 @@ class Model:
 
 def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The non-decreasing least-squares fit, as points to interpolate between (pool adjacent violators)."""
-    order = np.argsort(raw, kind="stable")
+    scores, place = np.unique(raw, return_inverse=True)  # equal scores have one value
+    rows, ones = np.bincount(place, minlength=len(scores)), np.bincount(place, label, minlength=len(scores))
     blocks: list[list[float]] = []  # sum of labels, rows, sum of raw scores
-    for r, y in zip(raw[order], label[order], strict=True):
-        blocks.append([float(y), 1.0, float(r)])
+    for r, n, y in zip(scores.tolist(), rows.tolist(), ones.tolist(), strict=True):
+        blocks.append([y, float(n), r * n])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             y1, n1, r1 = blocks.pop()
             blocks[-1][0] += y1

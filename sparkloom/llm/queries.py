@@ -51,11 +51,13 @@ x AS (SELECT rid, kind, v[i] AS val, CAST(coalesce(list_sum(list_transform(b[1:i
   FROM e WHERE length(v[i]) >= least),
 y AS (SELECT rid, kind, s, s + n AS z, sha256(val) AS h, (kind = 1 OR (regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]'))) AND len(list_distinct(string_split(val, ''))) >= 8 AS rnd FROM x),
 k AS (SELECT * FROM y WHERE kind < 3 OR (rnd AND NOT EXISTS (SELECT 1 FROM y q WHERE q.rid = y.rid AND q.kind < 3 AND y.s < q.z AND q.s < y.z))),
-o AS (SELECT h, count(DISTINCT coalesce(source, '')) AS owners FROM k JOIN d USING (rid) GROUP BY h),
-f AS (SELECT k.*, rnd AND owners < 3 AS live, owners, ['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || s || ':' || z AS txt FROM k JOIN o USING (h)),
+o AS (SELECT h, count(DISTINCT coalesce(source, '')) AS owners, count(DISTINCT concat_ws('/', source, lang)) AS repos FROM k JOIN d USING (rid) GROUP BY h),
+f AS (SELECT k.*, rnd AND owners < 3 AND repos < 12 AS live, owners, repos, ['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || s || ':' || z AS txt FROM k JOIN o USING (h)),
 g AS (SELECT rid, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS c, count(*) FILTER (WHERE kind = 2) AS x, string_agg(txt, ',' ORDER BY s, kind, z) FILTER (WHERE kind < 3) AS base,
-  string_agg(txt, ',' ORDER BY s, kind, z) FILTER (WHERE kind < 3 OR live) AS spans, count(*) FILTER (WHERE live) AS nl, count(*) FILTER (WHERE owners >= 3 AND (kind < 3 OR live)) AS nc FROM f GROUP BY rid)
-SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(x, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(nl, 0) AS n_live, coalesce(nc, 0) AS n_copied
+  string_agg(txt, ',' ORDER BY s, kind, z) FILTER (WHERE kind < 3 OR live) AS spans, count(*) FILTER (WHERE live) AS nl, count(*) FILTER (WHERE (owners >= 3 OR repos >= 12) AND (kind < 3 OR live)) AS nc,
+  max(owners) FILTER (WHERE kind < 3 OR live) AS mo, max(repos) FILTER (WHERE kind < 3 OR live) AS mr FROM f GROUP BY rid)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(x, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(nl, 0) AS n_live, coalesce(nc, 0) AS n_copied,
+  coalesce(mo, 0) AS most_owners, coalesce(mr, 0) AS most_repos
 FROM d LEFT JOIN g USING (rid)
 """
 

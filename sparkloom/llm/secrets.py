@@ -2,15 +2,17 @@
 
 Base candidates are found per kind in every whole text; opaque tokens (long runs of key characters that mix letters
 and digits) are candidates too. Hashes of all candidates' values are aggregated over the corpus by distinct owners
-and repositories: a value of EXAMPLE_OWNERS owners or more is a widely copied example, any other that looks random
-is live. Live opaque tokens that touch no base span are added as spans of kind ``opaque``; base spans all stay.
+and repositories: a value of EXAMPLE_OWNERS owners or EXAMPLE_REPOS repositories or more is a widely copied example, any
+other that looks random is live. Live opaque tokens that touch no base span are added as spans of kind ``opaque``; base spans all stay.
 
 Positions are in code points: the pieces between matches and the matches, in turn, make up the text, so a match
 starts after the lengths of all that come before it. Candidates are aggregated before they are shuffled by hash, so a
 value copied to a third of all rows is a few rows for each task; the verdicts are joined back to the candidates.
 
-Defined cases: a null or empty text has no spans; a null ``doc_id``, repository or owner is kept as it is, a null
-owner counting as one owner; repeated rows each get the row's result; other columns are not read.
+Defined cases: a null or empty text has no spans; a null ``doc_id`` stays null, a null repository or owner counts as
+one; repeated rows each get the row's result; an empty table gives an empty result. ``scan`` reads no other column;
+``redact`` hands all columns on, whatever their names, a null text as null. Matches are walked in chunks, so a text of
+many matches costs little more than their number.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{32,}"
 OPAQUE = "[A-Za-z0-9+/_-]{20,}"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST, OPAQUE_LEAST = 8, 16, 32, 20
-#: Owners from which on a value counts as a widely copied example.
-EXAMPLE_OWNERS = 3
+#: Owners, and repositories of any owners, from which on a value counts as a widely copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 12
+#: Matches that are put together at a time.
+CHUNK = 128
 #: Distinct characters that a live-looking value has at least.
 LIVE_DISTINCT = 8
 MARK = "[SECRET]"
@@ -57,8 +61,15 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int, hint:
         out = F.when(F.length(value) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.struct(end.alias("at"), out.alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.when(hint, F.aggregate(rows, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    none = F.array().cast(_SPAN)
+    chunks = F.transform(F.sequence(F.lit(0), F.size(rows), F.lit(CHUNK)), lambda k: F.slice(rows, k + 1, CHUNK))
+
+    def chunk(acc: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    return F.when(hint, F.aggregate(chunks, zero, chunk, lambda acc: F.flatten(acc["out"]))).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -98,11 +109,15 @@ def ownership(spans: DataFrame) -> DataFrame:
     )
 
 
+def _copied(owners: Column, repos: Column) -> Column:
+    return (owners >= EXAMPLE_OWNERS) | (repos >= EXAMPLE_REPOS)
+
+
 def verdicts(found: DataFrame) -> DataFrame:
     """(doc_id, text_key, spans) of the documents that have candidates: each span with its owners and whether it is live."""
     each = found.filter(F.size("base") + F.size("opaque") > 0).select("doc_id", "text_key", "repo", "owner", F.explode(F.concat("base", "opaque")).alias("x"))
     each = each.select("doc_id", "text_key", "repo", "owner", "x.*")
-    live = F.col("random") & (F.col("n_owners") < EXAMPLE_OWNERS)
+    live = F.col("random") & ~_copied(F.col("n_owners"), F.col("n_repos"))
     return (
         each.join(ownership(each.select("hash", "repo", "owner")), "hash")
         .select("doc_id", "text_key", F.struct("start", "kind", "end", live.alias("live"), "n_owners", "n_repos").alias("x"))
@@ -136,7 +151,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo:
         F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         _listed(F.col("all")).alias("spans"),
         F.size(F.filter("all", lambda x: x["live"])).cast("long").alias("n_live"),
-        F.size(F.filter("all", lambda x: x["n_owners"] >= EXAMPLE_OWNERS)).cast("long").alias("n_copied"),
+        F.size(F.filter("all", lambda x: _copied(x["n_owners"], x["n_repos"]))).cast("long").alias("n_copied"),
+        *(F.coalesce(F.array_max(F.col(f"all.{c}")), F.lit(0)).cast("long").alias(a) for c, a in (("n_owners", "most_owners"), ("n_repos", "most_repos"))),
     )
 
 
@@ -146,23 +162,25 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coun
     repo, owner = F.col("source") if repo is None else repo, F.col("source") if owner is None else owner
     found = settle(candidates(docs, id_col, text_col, repo, owner).filter(F.size("base") + F.size("opaque") > 0), "secret-candidates")
     live = settle(verdicts(found).select("doc_id", "text_key", F.filter("spans", lambda x: x["live"]).alias("spans")).filter(F.size("spans") > 0), "secret-verdicts")
-    text = F.col(text_col)
+    # each row as one struct: its columns can't clash with the operator's own
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col(f"row.`{text_col}`")
     hint = F.coalesce(text.rlike(ASSIGN_HINT) | F.contains(text, F.lit("AKIA")) | text.rlike(HEX) | text.rlike(f"(?=[A-Za-z+/_-]*[0-9]){OPAQUE}"), F.lit(False))
 
     def step(acc: Column, x: Column) -> Column:
         part = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
         new = x["start"] >= acc["at"]
-        out = F.when(new, F.concat(acc["out"], part, F.lit(MARK))).otherwise(acc["out"])
+        out = F.when(new, F.concat(acc["out"], F.array(part, F.lit(MARK)))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
     def close(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-
-    clean = F.when(F.col("_spans").isNull(), text).otherwise(F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, close))
-    marked = live.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
-    hit = docs.filter(hint).withColumn("_text_key", F.xxhash64(text))
-    hit = hit.join(marked, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
-    columns = {text_col: clean}
-    if count_col in docs.columns:
-        columns[count_col] = F.when(F.col("_spans").isNull(), F.col(count_col)).otherwise(F.length(clean).cast("long"))
-    return docs.filter(~hint).unionByName(hit.withColumns(columns).select(*docs.columns))
+        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    clean = F.when(F.col("spans").isNull(), text).otherwise(F.aggregate("spans", zero, step, close))
+    hit = rows.filter(hint).select("row", F.col(f"row.`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("key"))
+    hit = hit.join(live, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left").withColumn("clean", clean)
+    counted = F.when(F.col("spans").isNull(), F.col(f"row.`{count_col}`")).otherwise(F.length("clean").cast("long")) if count_col in docs.columns else None
+    new = {text_col: F.col("clean"), **({} if counted is None else {count_col: counted})}
+    kept = rows.filter(~hint).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return kept.unionAll(hit.select(*[new.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]))

@@ -19,6 +19,7 @@ order among themselves; an empty table gives no shard. Only the id and the text
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import struct
 import zlib
@@ -26,8 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textkernel as K
 from .common import fresh_path, open_bytes, settle, small_batches, write_bytes
@@ -120,7 +123,8 @@ def _pack(frames: list[bytes], entries: list[tuple], digest: bytes, wide: bool):
 
 
 def write(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Writes the shards of all documents below ``path`` and returns the manifest: (first, shard, docs, ids) in order."""
+    """Writes the shards of all documents below ``path`` and returns the manifest: (part, number, shard, docs, ids), ordered
+    by the first two."""
     import zstandard
 
     spark = docs.sparkSession
@@ -139,15 +143,13 @@ def write(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
         shared = zstandard.ZstdCompressionDict(trained) if trained else None
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_checksum=False)
         frames, entries, size, at = [], [], 0, 39
+        part, numbers = TaskContext.get().partitionId(), itertools.count()
 
         def close():
             shard = f"{path}/{uuid.uuid4().hex}.tok"
             write_bytes(shard, _pack(frames, entries, digest, own.wide))
-            first = None if entries[0][1] else int(entries[0][0])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in ((first, pa.int64()), (shard, pa.string()), (len(entries), pa.int64()), (sum(e[4] for e in entries), pa.int64()))],
-                names=["first", "shard", "docs", "ids"],
-            )
+            row = ((part, pa.int32()), (next(numbers), pa.int32()), (shard, pa.string()), (len(entries), pa.int64()), (sum(e[4] for e in entries), pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in row], names=["part", "number", "shard", "docs", "ids"])
 
         for batch in batches:
             for key, row in zip(batch.column(0).to_pylist(), own.encode(batch.column(1)), strict=True):
@@ -165,7 +167,7 @@ def write(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = docs.select(F.col(id_col).cast("long"), F.col(text_col)).repartitionByRange(parts, F.col(id_col).asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col(id_col).asc_nulls_first())
-    return settle(ordered.mapInArrow(run, "first long, shard string, docs long, ids long"), "tokens-manifest")
+    return settle(ordered.mapInArrow(run, "part int, number int, shard string, docs long, ids long"), "tokens-manifest")
 
 
 class Shard:
@@ -202,14 +204,14 @@ def fetch(shard: str, k: int) -> np.ndarray:
     return Shard(shard).ids(k)
 
 
-def _ordered(manifest: DataFrame) -> list:
-    """The shards in order, with the ids before each; one row per shard of SHARD_BYTES, not per document."""
-    rows = sorted(manifest.collect(), key=lambda r: (r.first is not None, r.first or 0, r.docs))
-    out, start = [], 0
-    for r in rows:
-        out.append((r.shard, start))
-        start += r.ids
-    return out
+def _starts(manifest: DataFrame) -> DataFrame:
+    """(shard, start): the ids before each shard. Only sums of whole parts, of which there are as many as partitions of
+    the shuffle, are put in one row after the other."""
+    parts = manifest.groupBy("part").agg(F.sum("ids").alias("ids"))
+    before = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", before(Window.orderBy("part")).alias("base"))
+    within = manifest.withColumn("start", before(Window.partitionBy("part").orderBy("number")))
+    return within.join(parts, "part").select("shard", (F.col("base") + F.col("start")).alias("start"))
 
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -223,9 +225,7 @@ def summary(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
 
 def _read(spark: SparkSession, manifest: DataFrame, column, declared: str) -> DataFrame:
-    shards = spark.createDataFrame(_ordered(manifest), "shard string, start long").repartition(
-        max(1, min(manifest.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))), "shard"
-    )
+    shards = _starts(manifest).repartition(max(1, min(manifest.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))), "shard")
 
     def run(batches):
         for batch in batches:

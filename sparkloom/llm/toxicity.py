@@ -2,12 +2,13 @@
 
 A term is a lower-cased word (a run of letters, ASCII or not) or the opening bytes of a longer one, so that a word
 and its inflections share a term; pairs of terms interact through low-rank factors. Which terms count is decided by
-their association with the label in a bounded sample of labelled rows; the machine is then fitted to that sample.
+their association with the label in a bounded sample of labelled rows, or in the rows of it that hold a term that
+speaks for the label already, for a mention that is neutral by itself; the machine is then fitted to that sample.
 Scoring is one narrow pass over whole texts.
 
 Defined cases: a null or empty text has no terms and is scored by the bias alone; a null ``doc_id`` stays null, is
 not held out and never learnt from; a null label is not learnt from; repeated rows are each scored; without any
-usable label every score is 0. Only the id and the text are read from ``docs``.
+usable label every score is 0; labels that are all alike give all texts one score near that label. Only the id and the text are read from ``docs``.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,29 +127,40 @@ def _terms_batches(batches):
             )
 
 
+def _associated(each: DataFrame, n: float, ones: float):
+    """(term, strength) of the terms most associated with the label, at most MAX_TERMS. ``each``: (label, term)."""
+    counts = each.groupBy("term").agg(F.count("*").alias("rows"), F.sum("label").alias("hits"))
+    expected = F.col("rows") * (ones / n)
+    strength = (F.col("hits") - expected) / F.sqrt(expected * (1 - ones / n) + 0.5)
+    counts = counts.filter(F.col("rows") >= MIN_ROWS).select("term", strength.alias("strength")).filter(F.abs("strength") >= MIN_ASSOCIATION)
+    return counts.orderBy(F.abs("strength").desc(), "term").limit(MAX_TERMS).toPandas()
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Machine:
     small_batches(docs.sparkSession)
     sample = training_sample(docs, labels, label, bound, id_col, text_col).select("key", "text", "label")
     sample = settle(sample.mapInArrow(_terms_batches, "key long, label int, terms array<long>"), "toxicity-sample")
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
-    none = Machine(np.zeros(0, np.int64), -30.0, np.zeros(0), np.zeros((0, FACTORS)))
-    if not total.n or not total.ones or total.n == total.ones:
-        return none
-    n, ones = float(total.n), float(total.ones)
-    counts = sample.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("rows"), F.sum("label").alias("hits"))
-    expected = F.col("rows") * (ones / n)
-    strength = (F.col("hits") - expected) / F.sqrt(expected * (1 - ones / n) + 0.5)
-    chosen = (
-        counts.filter(F.col("rows") >= MIN_ROWS)
-        .select("term", strength.alias("strength"))
-        .filter(F.abs("strength") >= MIN_ASSOCIATION)
-        .orderBy(F.abs("strength").desc(), "term")
-        .limit(MAX_TERMS)
-        .toPandas()
-    )
-    terms = np.sort(chosen["term"].to_numpy(np.int64))
+    constant = lambda bias: Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, FACTORS)))
+    if not total.n:
+        return constant(-30.0)
+    known = constant(float(np.log((total.ones + 0.5) / (total.n - total.ones + 0.5))))
+    if not total.ones or total.n == total.ones:
+        return known
+    each = sample.select("key", "label", F.explode("terms").alias("term"))
+    alone = _associated(each, float(total.n), float(total.ones))
+    speaking = alone[alone["strength"] > 0]
+    chosen = alone
+    if len(speaking):
+        found = each.join(F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in speaking["term"].tolist()], "term long")), "term", "left_semi").select("key").distinct()
+        near = sample.join(found, "key", "left_semi")  # rows of the bounded sample
+        few = near.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
+        if 0 < few.ones < few.n:
+            beside = _associated(near.select("key", "label", F.explode("terms").alias("term")), float(few.n), float(few.ones))
+            chosen = pd.concat([alone, beside]).drop_duplicates("term")
+    terms = np.sort(chosen["term"].to_numpy(np.int64)[:MAX_TERMS])
     if not len(terms):
-        return none
+        return known
     machine = Machine(terms, 0.0, np.zeros(len(terms)), np.zeros((len(terms), FACTORS)))
 
     def places(batches):

@@ -126,6 +126,51 @@ def test_op1_ownership_separates_examples_from_live(spark):
     assert text[0] == rows[0][1] and text[9] == "mine [SECRET] end token=secret: abcdefgh12"
 
 
+def test_op1_repositories_count_beside_owners(spark):
+    value = "f0e1d2c3b4a5968778695a4b3c2d1e0f"
+    rows = [(i, f"key {value} end", "one", f"repo{i % 12}") for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    for repo, live in ((F.col("lang"), 0), (F.col("source"), 24)):
+        got = secrets.scan(df, repo=repo, owner=F.col("source"))
+        assert got.filter("n_live = 1").count() == live and got.filter("n_copied = 1").count() == 24 - live
+        assert {(r.most_owners, r.most_repos) for r in got.collect()} == {(1, 1 if live else 12)}
+
+
+def test_op1_many_matches_in_one_text(spark):
+    text = " ".join(f"token={k:08d}x" for k in range(5000))
+    (row,) = secrets.scan(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).collect()
+    spans = ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"token=\d{8}x", text))
+    assert row.n_assign == 5000 and row.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+
+
+def test_op1_redact_hands_on_clashing_columns(spark):
+    own = "f0e1d2c3b4a5968778695a4b3c2d1e0f"
+    rows = [(1, f"mine {own} end", "s", 42), (1, f"mine {own} end", "s", 42), (None, None, None, 0), (2, "", "s", 0), (1, "other", "s", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    df = df.selectExpr("*", "'a' as _text_key", "'b' as _id", "'c' as `row`", "'d' as `key`", "'e' as spans", "'f' as clean", "'g' as `id`", "'h' as text_key", "'i' as `x.y`")
+    out = secrets.redact(df)
+    assert out.columns == df.columns and out.schema == df.schema
+    assert {tuple(r)[4:] for r in out.collect()} == {tuple("abcdefghi")}
+    got = collections.Counter((r.doc_id, r.text, r.n_chars) for r in out.collect())
+    assert got == collections.Counter([(1, "mine [SECRET] end", 17)] * 2 + [(None, None, 0), (2, "", 0), (1, "other", 5)])
+    assert secrets.redact(df.limit(0)).count() == 0
+
+
+def test_stages_hand_on_repeats_nulls_and_clashing_columns(spark, docs, labels):
+    bench = spark.createDataFrame([(1, BASE), (2, None)], "item_id long, text string")
+    leaky = docs.selectExpr("*", "1 as item_id", "2 as cosine", "3 as keep")
+    left = decontaminate.drop_leaks(leaky, bench)
+    assert left.schema == leaky.schema
+    words = set(BASE.lower().split())
+    has = lambda t: len(words & set((t or "").lower().split())) > 0.9 * len(words)
+    assert collections.Counter((r.doc_id, r.text) for r in left.collect()) == collections.Counter((r.doc_id, r.text) for r in leaky.collect() if not has(r.text))
+    assert decontaminate.drop_leaks(leaky.limit(0), bench).count() == 0
+    good = quality.keep_good(docs, labels)
+    assert good.schema == docs.schema and quality.keep_good(docs.limit(0), labels).count() == 0
+    keep = {(r.doc_id): r.predicted for r in quality.classify(docs.filter("doc_id <> 5"), labels).collect()}
+    assert {r.doc_id for r in good.filter("doc_id <> 5").collect()} <= set(keep)
+
+
 def test_op2_finds_passages_and_paraphrases(spark):
     item = prose(40, 99) + ". The answer is " + prose(6, 98)
     words = item.split()
@@ -147,7 +192,7 @@ def test_op2_finds_passages_and_paraphrases(spark):
     got = rows_of(decontaminate.contamination(df, bench).select("doc_id", "item_id"))
     assert sorted(got, key=str) == sorted([(1, 10), (2, 10), (3, 10), (5, 10), (None, 10)], key=str)
     kept = {r.doc_id for r in decontaminate.drop_leaks(df, bench).collect()}
-    assert kept == {4, 6, 7, 8, None}
+    assert kept == {4, 6, 7, 8}
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
     assert decontaminate.contamination(df, bench.limit(0)).count() == 0
 
@@ -331,6 +376,17 @@ def test_op5_token_files(spark, docs):
     assert tokenfiles.summary(spark, tokenfiles.write(docs.limit(0), P.path("word_bpe_49k.json"))).count() == 0
 
 
+def test_op5_one_id_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "SHARD_BYTES", 200)
+    rows = [(7, prose(30, k)) for k in range(40)] + [(None, prose(20, k)) for k in range(20)] + [(k, "x y") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = tokenfiles.write(df, P.path("word_bpe_49k.json"))
+    assert manifest.count() > 10
+    got = sorted(rows_of(tokenfiles.summary(spark, manifest)), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got)])[:-1].tolist()
+
+
 def test_op6_repetition(docs):
     def brute(text):
         w = WORD.findall(text)
@@ -422,6 +478,34 @@ def test_op8_learns_an_interaction(spark):
     assert got.filter("predicted = toxic").count() >= 0.97 * got.count()
 
 
+def test_op8_learns_a_neutral_mention(spark):
+    """A mention is as common in clean texts as in toxic ones; an insult alone is mild, both together are toxic."""
+    r, rows = random.Random(3), []
+    for i in range(1600):
+        kind = r.random()
+        words = [r.choice(VOCAB) for _ in range(12)]
+        # toxic: insult and mention (20 %); clean: insult alone (20 %), mention alone (10 %), neither
+        toxic = kind < 0.2
+        words += ["insult"] * (kind < 0.4) + ["people"] * (kind < 0.2 or kind >= 0.9)
+        r.shuffle(words)
+        rows.append((i, " ".join(words), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.classify(df.select("doc_id", "text"), df.select("doc_id", "toxic")).join(df.select("doc_id", "toxic"), "doc_id").filter("held_out")
+    assert got.filter("predicted = toxic").count() >= 0.97 * got.count()
+
+
+def test_op8_labels_all_alike(spark, docs):
+    for label in (0, 1):
+        labels = spark.createDataFrame([(i, label) for i in range(16)], "doc_id long, toxic int")
+        assert {r.predicted for r in toxicity.classify(docs, labels).collect()} == {label}
+
+
+def test_op9_equal_scores_are_pooled():
+    steps, values = quality.isotonic(np.array([1.0, 1.0, 2.0, 2.0, 2.0]), np.array([0, 1, 1, 0, 1]))
+    again = quality.isotonic(np.array([2.0, 1.0, 2.0, 1.0, 2.0]), np.array([0, 1, 1, 0, 1]))
+    assert len(steps) == 2 and np.array_equal(steps, again[0]) and np.array_equal(values, again[1])
+
+
 def test_op9_isotonic_is_monotone():
     raw, y = np.random.default_rng(0).normal(size=400), np.random.default_rng(1).integers(0, 2, 400)
     steps, values = quality.isotonic(raw, y)
