@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import small_batches
+from .common import cache, small_batches
 from .pieces import PieceTable, gpt_pieces
 
 #: White space of Unicode, as the pre-tokenizer sees it.
@@ -229,7 +229,7 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, Codec] = cache()
 
 
 def codec(definition: str) -> Codec:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import posixpath
 import tempfile
@@ -45,6 +48,25 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_caches: list[dict] = []
+
+
+def cache() -> dict:
+    """A worker's cache of large objects, which lasts until a task of an operator without it calls ``release``."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def release() -> None:
+    """Lets go what tasks of other operators have left in this worker, and gives the memory back."""
+    if any(_caches):
+        for c in _caches:
+            c.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def _local(path: str) -> str | None:
     parts = urlparse(path)
     return (parts.path or path) if parts.scheme in ("", "file") else None

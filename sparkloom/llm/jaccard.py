@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkernel as K
-from .common import settle, small_batches
+from .common import release, settle, small_batches
 from .components import components
 from .decontaminate import add_up, pack
 
@@ -178,6 +178,7 @@ def spanning_links(nodes: list[int], others: list[int], good: np.ndarray) -> lis
 
 def _sets(batches, at: int = 1):
     """(ids, sets) chunk by chunk."""
+    release()
     for batch in batches:
         for i, j, data, offsets in K.chunks(batch.column(at)):
             yield batch.slice(i, j - i), shingle_sets(data, offsets)

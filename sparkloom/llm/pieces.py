@@ -98,7 +98,7 @@ def word_pieces(data: np.ndarray, offsets: np.ndarray):
 
 
 class PieceTable:
-    def __init__(self, encode: Callable[[list[bytes]], list], kind: str, bits: int = 21):
+    def __init__(self, encode: Callable[[list[bytes]], list], kind: str, bits: int = 20):
         """``encode`` gives the ids of each of a list of pieces."""
         self.encode, self.kind, self.bits = encode, kind, bits
         self.clear()
@@ -107,7 +107,7 @@ class PieceTable:
         size = 1 << self.bits
         self.keys, self.first, self.count = np.zeros(size, np.uint64), np.zeros(size, np.int32), np.zeros(size, np.uint16)
         self.pool, self.used, self.held = np.zeros(1 << 18, self.kind), 0, 0
-        self.begin, self.size = np.zeros(size, np.int64), np.zeros(size, np.uint16)  # each piece's bytes
+        self.begin, self.size = np.zeros(size, np.uint32), np.zeros(size, np.uint16)  # each piece's bytes
         self.raw, self.raw_used = np.zeros(1 << 20, np.uint8), 0
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -197,7 +197,7 @@ class PieceTable:
         sizes = np.where(wrong, 0, sizes)
         edges = np.concatenate([[0], np.cumsum(sizes)])
         at = np.arange(edges[-1])
-        differ = np.flatnonzero(data[at + np.repeat(starts - edges[:-1], sizes)] != self.raw[at + np.repeat(self.begin[slots] - edges[:-1], sizes)])
+        differ = np.flatnonzero(data[at + np.repeat(starts - edges[:-1], sizes)] != self.raw[at + np.repeat(self.begin[slots].astype(np.int64) - edges[:-1], sizes)])
         wrong[np.searchsorted(edges, differ, "right") - 1] = True
         return np.flatnonzero(wrong)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import settle, small_batches
+from .common import release, settle, small_batches
 from .labelled import held_out, training_sample
 from .repetition import line_spans
 
@@ -147,6 +147,7 @@ def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _statistics_batches(batches):
+    release()
     for batch in batches:
         for i, j, data, offsets in K.chunks(batch.column(1)):
             x = statistics(data, offsets)
@@ -222,6 +223,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     at = docs.columns.index(text_col)
 
     def run(batches):
+        release()
         for batch in batches:
             keep = [model.score(statistics(data, offsets)) >= THRESHOLD for _, _, data, offsets in K.chunks(batch.column(at))]
             if keep:

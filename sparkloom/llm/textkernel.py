@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 18
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _U = np.uint64
 _MASK = (1 << 64) - 1
 _PRIME = (1 << 31) - 1

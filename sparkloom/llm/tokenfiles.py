@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkernel as K
-from .common import fresh_path, open_bytes, settle, small_batches, write_bytes
+from .common import cache, fresh_path, open_bytes, settle, small_batches, write_bytes
 from .pieces import PieceTable, word_pieces
 
 MAGIC = b"SLTK1\n"
@@ -80,7 +80,7 @@ class Encoder:
                 yield np.concatenate([ids, end])
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = cache()
 
 
 def encoder(definition: str) -> Encoder:

@@ -561,7 +561,7 @@ def test_op10_shards_give_what_one_suffix_array_of_the_host_gives(spark, monkeyp
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     whole = htmltext.extract(pages)
     assert not any(f"{menu[:20]}" in t or "great archive" in t for t in whole) and any(whole)
-    for size in (250, 7):
+    for size in (250, 30):
         monkeypatch.setattr(htmltext, "SHARD_PAGES", size)
         assert [x.text for x in htmltext.main_text(df).orderBy("page_id").collect()] == whole
 
