@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -93,6 +95,38 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pea
     return df.agg(F.array(*pairs).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
+def kendall_tau(df: DataFrame, keys: Sequence[str], x: str, y: str, row: str) -> DataFrame:
+    """tau-b of each key: concordant less discordant pairs, corrected for ties. All pairs of a key's rows are compared,
+    so it is meant for short series, such as daily figures; ``row`` tells the rows apart."""
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, row, x, y)
+    a, b = both.alias("a"), both.alias("b")
+    on = F.col(f"a.{row}") < F.col(f"b.{row}")
+    for k in keys:
+        on &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    dx, dy = F.signum(F.col(f"a.{x}") - F.col(f"b.{x}")), F.signum(F.col(f"a.{y}") - F.col(f"b.{y}"))
+    pairs = a.join(b, on).select(*[F.col(f"a.{k}").alias(k) for k in keys], dx.alias("_dx"), dy.alias("_dy"))
+    sums = pairs.groupBy(*keys).agg(F.sum(F.col("_dx") * F.col("_dy")).alias("_s"), F.sum(F.abs("_dx")).alias("_x"), F.sum(F.abs("_dy")).alias("_y"))
+    return sums.select(*keys, (F.col("_s") / F.nullif(F.sqrt(F.col("_x") * F.col("_y")), F.lit(0.0))).alias("tau"))
+
+
+def mutual_information(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
+    """(mutual_information,) in nats of two columns cut into equal-width bins; 0 where one of them has a single value."""
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    edges = both.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    cut = lambda v: F.least(F.floor((F.col(v) - F.col(f"{v}0")) / F.nullif(F.col(f"{v}1") - F.col(f"{v}0"), F.lit(0.0)) * bins), F.lit(bins - 1))
+    joint = both.crossJoin(F.broadcast(edges)).groupBy(F.coalesce(cut("x"), F.lit(0)).alias("i"), F.coalesce(cut("y"), F.lit(0)).alias("j")).agg(F.count("*").alias("n"))
+    # at most bins * bins rows from here on
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    p = joint.select("n", total.alias("t"), F.sum("n").over(Window.partitionBy("i")).alias("px"), F.sum("n").over(Window.partitionBy("j")).alias("py"))
+    return p.agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("px") * F.col("py")))).alias("mutual_information"))
+
+
+def polynomial_features(df: DataFrame, columns: Sequence[str], degree: int = 2) -> DataFrame:
+    """The rows with a column for each product of up to ``degree`` of the columns, named by its factors."""
+    terms = [c for d in range(1, degree + 1) for c in combinations_with_replacement(columns, d)]
+    return df.select("*", *[reduce(lambda a, b: a * b, map(F.col, t)).alias("*".join(t)) for t in terms if len(t) > 1])
+
+
 def point_in_time(features: DataFrame, entities: DataFrame, entity: str, ts: str, feature_ts: str) -> DataFrame:
     """Each entity row with the latest features not after its time."""
     from .relational import asof_join

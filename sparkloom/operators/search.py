@@ -137,8 +137,8 @@ def knn_join(queries: DataFrame, vectors: DataFrame, key: str, column: str, k: i
     """(query key, key, distance, rank) of the k nearest for each of a bounded set of queries, which is broadcast."""
     q = queries.select(F.col(key).alias("query"), F.col(column).alias("_q"))
     pairs = vectors.crossJoin(F.broadcast(q)).select("query", key, distance(F.col(column), F.col("_q"), metric).alias("distance"))
-    best = pairs.groupBy("query").agg(F.expr(f"slice(sort_array(collect_list(struct(distance, {key}))), 1, {k})").alias("b"))
-    return best.select("query", F.posexplode("b").alias("p", "x")).select("query", f"x.{key}", "x.distance", (F.col("p") + 1).alias("rank"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))  # limited in each partition first
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", key, "distance", "rank")
 
 
 def quantize(v: Column, low: float, high: float) -> Column:

@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], update: dict[str, Column] | None = None, delete: Column | None = None, insert: bool = True) -> DataFrame:
     """The target after MERGE: matched rows updated (expressions over ``t`` and ``s``) or deleted, new rows inserted.
     A target row that two source rows match is an error."""
-    n = source.groupBy(*keys).agg(F.count("*").alias("_n"))
-    s = source.join(n, list(keys)).select(F.struct(*source.columns).alias("s"), F.col("_n"), *[F.col(k).alias(f"_s_{k}") for k in keys])
+    n = F.count("*").over(Window.partitionBy(*keys))  # a null key matches nothing, but its row is inserted
+    s = source.select(F.struct(*source.columns).alias("s"), n.alias("_n"), *[F.col(k).alias(f"_s_{k}") for k in keys])
     t = target.select(F.struct(*target.columns).alias("t"), *[F.col(k).alias(f"_t_{k}") for k in keys])
     on = [F.col(f"_t_{k}") == F.col(f"_s_{k}") for k in keys]
     both = t.join(s, on, "full")
@@ -91,13 +91,29 @@ def scd2(dim: DataFrame, new: DataFrame, keys: Sequence[str], tracked: Sequence[
 
 
 def scd3(dim: DataFrame, new: DataFrame, keys: Sequence[str], tracked: Sequence[str], prefix: str = "previous_") -> DataFrame:
-    """Keep the value before in a column of its own."""
-    n = new.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in tracked])
+    """Keep the value before in a column of its own; a new value may be null."""
+    n = new.select(*keys, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_n_{c}") for c in tracked])
     out = dim.join(n, list(keys), "left")
     for c in tracked:
-        moved = F.col(f"_n_{c}").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"_n_{c}"))
+        moved = F.col("_hit").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"_n_{c}"))
         out = out.withColumns({f"{prefix}{c}": F.when(moved, F.col(c)).otherwise(F.col(f"{prefix}{c}") if f"{prefix}{c}" in dim.columns else F.lit(None)), c: F.when(moved, F.col(f"_n_{c}")).otherwise(F.col(c))})
-    return out.drop(*[f"_n_{c}" for c in tracked])
+    return out.drop("_hit", *[f"_n_{c}" for c in tracked])
+
+
+def scd4(dim: DataFrame, history: DataFrame | None, new: DataFrame, keys: Sequence[str], at: Column, until: str = "valid_to") -> tuple[DataFrame, DataFrame]:
+    """(dimension, history): the dimension is overwritten, and rows that change go to a history table with the time."""
+    values = [c for c in dim.columns if c not in keys]
+    after = new.select(*keys, F.struct(*values).alias("_new"))
+    old = dim.join(after, list(keys)).filter(~F.struct(*values).eqNullSafe(F.col("_new"))).select(*dim.columns, at.alias(until))
+    return scd1(dim, new, keys), old if history is None else history.unionByName(old)
+
+
+def scd6(dim: DataFrame, new: DataFrame, keys: Sequence[str], tracked: Sequence[str], at: Column, current: str = "current_", **names) -> DataFrame:
+    """Rows by validity as in type 2, each with the key's current values beside its own, as in types 1 and 3."""
+    beside = [f"{current}{c}" for c in tracked]
+    rows = scd2(dim.drop(*beside), new, keys, tracked, at, **names)
+    now = rows.filter(F.col(names.get("current", "is_current"))).select(*keys, *[F.col(c).alias(b) for c, b in zip(tracked, beside, strict=True)])
+    return rows.join(now, list(keys), "left")
 
 
 def refresh_sums(view: DataFrame, delta: DataFrame, keys: Sequence[str], sums: Sequence[str], sign: str = "_sign") -> DataFrame:

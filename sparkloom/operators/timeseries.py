@@ -40,7 +40,7 @@ def interpolate(value: str, keys: Sequence[str], ts: str) -> Column:
     return F.coalesce(F.col(value), a["v"] + (b["v"] - a["v"]) * (at - a["t"]) / (b["t"] - a["t"]))
 
 
-def ema(df: DataFrame, keys: Sequence[str], ts: str, value: str, alpha: float = 0.5, name: str = "ema") -> DataFrame:
+def ema(df: DataFrame, keys: Sequence[str], ts: str | list[str], value: str, alpha: float = 0.5, name: str = "ema") -> DataFrame:
     """Exponential smoothing from each key's first value: a recurrence, so one sorted pass per key."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -82,6 +82,27 @@ def period_compare(df: DataFrame, keys: Sequence[str], day: str, value: str, shi
     return df.withColumn("_day", shift).join(prior, [*keys, "_day"], "left").drop("_day")
 
 
+def period_growth(df: DataFrame, keys: Sequence[str], day: str, value: str, shift: Column, name: str = "growth") -> DataFrame:
+    """(value - prior) / prior, null where the prior is missing or 0."""
+    got = period_compare(df, keys, day, value, shift, "_prior")
+    return got.withColumn(name, (F.col(value) - F.col("_prior")) / F.nullif(F.col("_prior"), F.lit(0))).drop("_prior")
+
+
+def derivative(value: str, keys: Sequence[str], ts: str, *ties: str) -> Column:
+    """Change per second since the row before; null for the first and where no time has passed."""
+    w = Window.partitionBy(*keys).orderBy(ts, *ties)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    return (F.col(value) - F.lag(value).over(w)) / F.nullif((at - F.lag(at).over(w)) / 1_000_000, F.lit(0.0))
+
+
+def anomalies(df: DataFrame, keys: Sequence[str], value: str, threshold: float = 3.0) -> DataFrame:
+    """``score``: sample deviations from the key's mean, null where there is no spread; ``is_anomaly``: beyond the threshold."""
+    score = F.abs(F.col(value) - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0))
+    stats = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
+    got = df.join(stats, list(keys)).withColumn("score", score)
+    return got.withColumn("is_anomaly", F.coalesce(F.col("score") > threshold, F.lit(False))).drop("_mean", "_sd")
+
+
 def to_date_sum(value: str, keys: Sequence[str], day: str, unit: str) -> Column:
     """Running sum inside the calendar year, quarter or month."""
     return F.sum(value).over(Window.partitionBy(*keys, F.date_trunc(unit, F.col(day))).orderBy(day))

@@ -59,6 +59,29 @@ def _spearman(spark, sf_dir):
     return got.filter("col_a <> col_b").select(F.round("correlation", 6).alias("rho"))
 
 
+_DAYS = "WITH d AS (SELECT event_type, ts::DATE AS d, count(*) AS n, round(sum(value), 2) AS s FROM events GROUP BY 1, 2)"
+
+
+@register("correlation_kendall", f"""{_DAYS}, p AS (SELECT event_type, sign(a.n - b.n) AS x, sign(a.s - b.s) AS y FROM d a JOIN d b USING (event_type) WHERE a.d < b.d)
+  SELECT event_type, round(sum(x * y) / nullif(sqrt(sum(abs(x)) * sum(abs(y))), 0), 6) AS tau FROM p GROUP BY 1""")
+def _kendall(spark, sf_dir):
+    d = table(spark, sf_dir, "events").groupBy("event_type", F.col("ts").cast("date").alias("d")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("s"))
+    return A.kendall_tau(d, ["event_type"], "n", "s", "d").withColumn("tau", F.round("tau", 6))
+
+
+@register("mutual_information", """WITH e AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS c, max(l_extendedprice) AS d FROM lineitem),
+  j AS (SELECT least(floor((l_quantity::DOUBLE - a) / (b - a)::DOUBLE * 10), 9) AS i, least(floor((l_extendedprice::DOUBLE - c) / (d - c)::DOUBLE * 10), 9) AS k, count(*)::DOUBLE AS n FROM lineitem, e GROUP BY 1, 2),
+  p AS (SELECT n, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY i) AS px, sum(n) OVER (PARTITION BY k) AS py FROM j) SELECT round(sum(n / t * ln(n * t / (px * py))), 6) AS mutual_information FROM p""")
+def _mutual(spark, sf_dir):
+    return A.mutual_information(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice").withColumn("mutual_information", F.round("mutual_information", 6))
+
+
+@register("polynomial_features", """SELECT p_partkey, p_size * p_size AS "p_size*p_size", round(p_size * p_retailprice, 4) AS "p_size*p_retailprice" FROM part""")
+def _polynomial(spark, sf_dir):
+    got = A.polynomial_features(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"])
+    return got.select("p_partkey", "`p_size*p_size`", F.round("`p_size*p_retailprice`", 4).alias("p_size*p_retailprice"))
+
+
 @register("features_latest", "SELECT user_id, event_type, arg_max(value, ts) AS value FROM events GROUP BY 1, 2")
 def _latest(spark, sf_dir):
     return A.latest_features(table(spark, sf_dir, "events"), "user_id", "event_type", "value", "ts")

@@ -153,5 +153,7 @@ def _sketches(spark, sf_dir):
 @register("similarity_fingerprints", "SELECT doc_id, true AS same, 0 AS distance FROM documents")
 def _fingerprints(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    sig = bits.minhash_signature(F.slice(F.split("text", " "), 1, 50), 16)
-    return d.select("doc_id", (bits.minhash_similarity(sig, sig) == 1).alias("same"), bits.simhash_distance(bits.simhash(c("text")), bits.simhash(c("text"))).alias("distance"))
+    words = F.split("text", " ")
+    # a signature is that of the set of words: their order and number don't count
+    sig, other = bits.minhash_signature(words, 16), bits.minhash_signature(F.concat(F.reverse(words), words), 16)
+    return d.select("doc_id", (bits.minhash_similarity(sig, other) == 1).alias("same"), bits.simhash_distance(bits.simhash(c("text")), bits.simhash(c("text"))).alias("distance"))

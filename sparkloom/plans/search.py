@@ -81,18 +81,18 @@ def _edges(spark, sf_dir):
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("event_type").orderBy("ts")
-    return e.select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst")).filter("dst IS NOT NULL AND src % 7 = dst % 7").distinct()
+    return e.select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst")).filter("dst IS NOT NULL").distinct()
 
 
-_EDGES = "SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts) AS dst FROM events) t WHERE dst IS NOT NULL AND src % 7 = dst % 7"
+_EDGES = "SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts) AS dst FROM events) t WHERE dst IS NOT NULL"
 
 
 @register("graph_pagerank", f"""WITH RECURSIVE e AS ({_EDGES}), o AS (SELECT src, count(*) AS deg FROM e GROUP BY 1), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), n AS (SELECT count(*) AS n FROM v),
   p AS (SELECT 0 AS k, id, 1.0::DOUBLE / n AS rank FROM v, n UNION ALL
-    SELECT k, id, (SELECT 0.15::DOUBLE / n FROM n) + 0.85::DOUBLE * coalesce(s, 0) FROM (SELECT p.k + 1 AS k, v.id, sum(CASE WHEN e.dst = v.id THEN p.rank / o.deg END) AS s FROM p JOIN e ON e.src = p.id JOIN o ON o.src = p.id CROSS JOIN v WHERE p.k < 5 GROUP BY p.k, v.id) t)
-  SELECT id, round(rank, 8) AS rank FROM p WHERE k = 5""")
+    SELECT k, id, (SELECT 0.15::DOUBLE / n FROM n) + 0.85::DOUBLE * coalesce(s, 0) FROM (SELECT p.k + 1 AS k, v.id, sum(CASE WHEN e.dst = v.id THEN p.rank / o.deg END) AS s FROM p JOIN e ON e.src = p.id JOIN o ON o.src = p.id CROSS JOIN v WHERE p.k < 20 GROUP BY p.k, v.id) t)
+  SELECT id, round(rank, 8) AS rank FROM p WHERE k = 20""")
 def _pagerank(spark, sf_dir):
-    return G.pagerank(_edges(spark, sf_dir), rounds=5).withColumn("rank", F.round("rank", 8))
+    return G.pagerank(_edges(spark, sf_dir)).withColumn("rank", F.round("rank", 8))
 
 
 @register("graph_components", f"""WITH RECURSIVE e AS ({_EDGES}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS id, src AS c FROM b UNION SELECT b.dst, r.c FROM r JOIN b ON b.src = r.id)

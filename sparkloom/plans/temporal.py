@@ -14,13 +14,13 @@ def _daily(spark, sf_dir):
     return e.groupBy("event_type", F.col("ts").cast("date").alias("d")).agg(F.count("*").alias("n"))
 
 
-_GAPS = """WITH g AS (SELECT user_id, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') AS bucket, count(*) AS n, round(sum(value), 4) AS s FROM events WHERE user_id < 40 GROUP BY 1, 2),
+_GAPS = """WITH g AS (SELECT user_id, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') AS bucket, count(*) AS n, round(sum(value), 4) AS s FROM events GROUP BY 1, 2),
  span AS (SELECT user_id, min(bucket) AS lo, max(bucket) AS hi FROM g GROUP BY 1), grid AS (SELECT user_id, unnest(range(lo, hi + INTERVAL 1 SECOND, INTERVAL 12 HOUR)) AS bucket FROM span)
  SELECT user_id, bucket, n, s FROM grid LEFT JOIN g USING (user_id, bucket)"""
 
 
 def _filled(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("user_id < 40")
+    e = table(spark, sf_dir, "events")
     return T.gapfill(e, ["user_id"], "ts", 43_200, [F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("s")])
 
 
@@ -42,12 +42,12 @@ def _interpolate(spark, sf_dir):
     return _filled(spark, sf_dir).select("user_id", F.col("bucket").cast("timestamp_ntz").alias("bucket"), F.round(T.interpolate("s", ["user_id"], "bucket"), 4).alias("s"))
 
 
-@register("window_ema", """WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events WHERE user_id < 20),
+@register("window_ema", """WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
   r AS (SELECT event_id, user_id, rn, value::DOUBLE AS s FROM e WHERE rn = 1 UNION ALL SELECT e.event_id, e.user_id, e.rn, 0.5::DOUBLE * e.value + 0.5::DOUBLE * r.s FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
-  SELECT event_id, round(s, 1) AS ema FROM r""")
+  SELECT event_id, round(s, 3) AS ema FROM r""")
 def _ema(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("user_id < 20").select("event_id", "user_id", "ts", "value")
-    return T.ema(e, ["user_id"], "ts", "value").select("event_id", F.round("ema", 1).alias("ema"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    return T.ema(e, ["user_id"], ["ts", "event_id"], "value").select("event_id", F.round("ema", 3).alias("ema"))
 
 
 @register("lttb")
@@ -77,6 +77,24 @@ def _to_date(spark, sf_dir):
     return d.select("event_type", "d", T.to_date_sum("n", ["event_type"], "d", "month").alias("mtd"), T.to_date_sum("n", ["event_type"], "d", "year").alias("ytd"))
 
 
+@register("period_yoy_growth", """WITH d AS (SELECT o_orderpriority, date_trunc('month', o_orderdate)::DATE AS d, count(*) AS n FROM orders GROUP BY 1, 2)
+  SELECT a.o_orderpriority, a.d, round((a.n - b.n) / nullif(b.n, 0)::DOUBLE, 6) AS growth FROM d a LEFT JOIN d b ON a.o_orderpriority = b.o_orderpriority AND b.d = (a.d - INTERVAL 1 YEAR)::DATE""")
+def _yoy_growth(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.date_trunc("month", "o_orderdate").cast("date").alias("d")).agg(F.count("*").alias("n"))
+    return T.period_growth(d, ["o_orderpriority"], "d", "n", F.add_months("d", -12)).select("o_orderpriority", "d", F.round("growth", 6).alias("growth"))
+
+
+@register("window_derivative", """SELECT event_id, round((value - lag(value) OVER w) / ((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000000.0::DOUBLE), 6) AS slope FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def _derivative(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(T.derivative("value", ["user_id"], "ts", "event_id"), 6).alias("slope"))
+
+
+@register("anomaly_zscore", """WITH m AS (SELECT event_type, avg(value) AS m, stddev_samp(value) AS s FROM events GROUP BY 1)
+  SELECT event_id, round(abs(value - m) / nullif(s, 0), 6) AS score, coalesce(abs(value - m) / nullif(s, 0) > 2, false) AS is_anomaly FROM events JOIN m USING (event_type)""")
+def _anomaly(spark, sf_dir):
+    return T.anomalies(table(spark, sf_dir, "events"), ["event_type"], "value", 2.0).select("event_id", F.round("score", 6).alias("score"), "is_anomaly")
+
+
 @register("outliers_iqr", """WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events GROUP BY 1)
   SELECT event_id, value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a) AS is_outlier FROM events JOIN q USING (event_type)""")
 def _iqr(spark, sf_dir):

@@ -73,6 +73,17 @@ def _scd2(spark, sf_dir):
     return T.scd2(*_dimension(spark, sf_dir), ["k"], ["v"], F.lit("2024-06-01").cast("date"))
 
 
+@register("scd_type_4", f"WITH t AS ({_TARGET}), s AS ({_SOURCE}) SELECT t.k, t.v, DATE '2024-06-01' AS valid_to FROM t JOIN s ON t.k = s.k WHERE t.v IS DISTINCT FROM s.v")
+def _scd4(spark, sf_dir):
+    return T.scd4(*_pair(spark, sf_dir)[:1], None, _pair(spark, sf_dir)[1], ["k"], F.lit("2024-06-01").cast("date"))[1]
+
+
+@register("scd_type_6", f"""WITH t AS ({_TARGET}), s AS ({_SOURCE}) SELECT t.k, t.v, DATE '2020-01-01' AS valid_from, CASE WHEN s.k IS NOT NULL THEN DATE '2024-06-01' END AS valid_to, s.k IS NULL AS is_current, CASE WHEN s.k IS NULL THEN t.v ELSE s.v END AS current_v FROM t LEFT JOIN s ON t.k = s.k
+  UNION ALL SELECT k, v, DATE '2024-06-01', NULL, true, v FROM s""")
+def _scd6(spark, sf_dir):
+    return T.scd6(*_dimension(spark, sf_dir), ["k"], ["v"], F.lit("2024-06-01").cast("date"))
+
+
 @register("scd_type_3", f"WITH t AS ({_TARGET}), s AS ({_SOURCE}) SELECT t.k, coalesce(s.v, t.v) AS v, CASE WHEN s.k IS NOT NULL THEN t.v END AS previous_v FROM t LEFT JOIN s ON t.k = s.k")
 def _scd3(spark, sf_dir):
     return T.scd3(*_pair(spark, sf_dir), ["k"], ["v"])
@@ -98,13 +109,13 @@ def _lake(spark, sf_dir):
 
 
 @register("lake_time_travel", """SELECT 'v0' AS version, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'v1', count(*) FROM orders UNION ALL SELECT 'v2', count(*) FROM orders WHERE o_orderstatus <> 'F'
-  UNION ALL SELECT 'work', count(*) FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'main', 0""")
+  UNION ALL SELECT 'work', count(*) FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'main', count(*) FROM orders WHERE o_orderstatus <> 'F' AND o_custkey = 0""")
 def _travel(spark, sf_dir):
     lake = _lake(spark, sf_dir)
     one = lambda name, df: df.agg(F.lit(name).alias("version"), F.count("*").alias("n"))
     out = one("v0", lake.read(0)).union(one("v1", lake.read(1))).union(one("v2", lake.read(2)))
     zero = "o_custkey = 0 AND o_orderstatus = 'O'"
-    return out.union(one("work", lake.read(branch="work").filter(zero))).union(one("main", lake.read().filter(zero).filter("o_orderkey < 0")))
+    return out.union(one("work", lake.read(branch="work").filter(zero))).union(one("main", lake.read().filter("o_custkey = 0")))
 
 
 @register("lake_restore_optimize", "SELECT o_orderkey, o_custkey FROM orders")

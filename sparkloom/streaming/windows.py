@@ -105,10 +105,10 @@ def drain(df: DataFrame, mode: str, keys: Sequence[str] = ()) -> DataFrame:
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     writer.foreachBatch(upsert(lambda: f"{path}/out", keys)).start().awaitTermination()
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-    try:
-        out = spark.read.parquet(f"{path}/out")
-    except Exception:  # no batch had rows
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/out")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):  # no batch came
         return spark.createDataFrame([], fields)
+    out = spark.read.parquet(f"{path}/out")
     if mode == "complete":
         last = out.agg(F.max("_batch")).first()[0]
         return out.filter(F.col("_batch") == last).select(*schema.names)

@@ -131,3 +131,20 @@ def test_isolation_forest_finds_the_odd_one():
 def test_parity_of_ids(spark):
     got = spark.range(20).select(domain.ulid().alias("u"), domain.nanoid().alias("n"), domain.uuid_v7().alias("v")).collect()
     assert len({r.u for r in got}) == 20 and all(len(r.u) == 26 and len(r.n) == 21 and r.v[14] == "7" for r in got)
+
+
+def test_merge_inserts_rows_with_a_null_key(spark):
+    from sparkloom.operators import tables
+
+    target = spark.createDataFrame([(1, "a"), (None, "b")], "k long, v string")
+    source = spark.createDataFrame([(1, "x"), (None, "y"), (None, "z")], "k long, v string")
+    got = tables.merge(target, source, ["k"], update={"v": F.col("s.v")}).collect()
+    assert sorted((r.k or 0, r.v) for r in got) == [(0, "b"), (0, "y"), (0, "z"), (1, "x")]
+
+
+def test_scd3_takes_a_new_null(spark):
+    from sparkloom.operators import tables
+
+    dim = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    got = tables.scd3(dim, spark.createDataFrame([(1, None)], "k long, v string"), ["k"], ["v"]).collect()
+    assert sorted((r.k, r.v, r.previous_v) for r in got) == [(1, None, "a"), (2, "b", None)]
