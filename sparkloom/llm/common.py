@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Rows of an Arrow batch: with texts of a few KB, a few MB; memory follows the batch, not the partition.
 BATCH_ROWS = 1000
@@ -42,6 +42,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_counted(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict]:
+    """As ``settle``, and aggregates of the rows that are taken while they are written, without a job of their own."""
+    seen = Observation()
+    out = settle(df.observe(seen, *[c.alias(k) for k, c in facts.items()]), name)
+    return out, seen.get
+
+
 def small_batches(spark: SparkSession) -> None:
     """From now on the session's Arrow batches are small. Plans run later than they are made, so this stays set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -10,30 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle_counted
 
 MAX_ROUNDS = 50
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return row.n, row.h
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b); root is the smallest node of the component."""
-    stars = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = _mark(stars)
+    mark = {"n": F.count("*"), "h": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    stars, before = settle_counted(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", **mark)
     for _ in range(MAX_ROUNDS):
-        if not before[0]:
+        if not before["n"]:
             break
         both = stars.union(stars.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = settle(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        after = _mark(stars)
+        stars, after = settle_counted(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges", **mark)
         if after == before:
             break
         before = after

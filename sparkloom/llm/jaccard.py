@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkernel as K
-from .common import release, settle, small_batches
+from .common import release, settle, settle_counted, small_batches
 from .components import components
 from .decontaminate import add_up, pack
 
@@ -303,9 +303,8 @@ class Join:
         there to the keys. ``nodes``: (node, doc_id) of one document of each node."""
         import zstandard
 
-        places = settle(places, "places")
-        wanted = settle(nodes.join(places.select("node").distinct(), "node").select("doc_id"), "wanted")
-        words = _filter_words(wanted, "doc_id", wanted.count())
+        places, found = settle_counted(places, "places", n=F.count("*"))
+        words = _filter_words(nodes.join(places.select("node").distinct(), "node"), "doc_id", max(found["n"], 1))
         bits = self.spark.sparkContext.broadcast(words)
         hashes = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(64 * len(words))).cast("int").alias(f"h{k}") for k in range(3)]
 
@@ -336,11 +335,12 @@ class Join:
         """Of the pairs (a, n, b, m) of nodes and their sizes, (a, b) with similar sets. Each ``a`` meets its ``b``s in
         turn: first their sketches, then, if any pass, the sets."""
 
+        salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_NODES).cast("int").alias("salts"))
+        pairs = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+
         def places(pairs: DataFrame) -> DataFrame:
-            salts = pairs.groupBy("a", "n").agg(F.ceil(F.count("*") / STAR_NODES).cast("int").alias("salts"))
-            center = salts.select(F.col("a").alias("node"), "n", "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("turn"))
-            member = pairs.join(salts.drop("n"), "a").select(F.col("b").alias("node"), F.col("m").alias("n"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("turn"))
-            return center.union(member)
+            center = pairs.select(F.col("a").alias("node"), "n", "a", "salt", F.lit(0).alias("turn")).distinct()
+            return center.union(pairs.select(F.col("b").alias("node"), F.col("m").alias("n"), "a", "salt", F.lit(1).alias("turn")))
 
         def check(read, meet):
             def run(batches):
@@ -351,12 +351,13 @@ class Join:
                         if turn == 0:
                             key, own, size = (a, salt), read(data), n
                         elif (a, salt) == key and meet(size, own, n, read(data)):
-                            good.append((a, size, node, n))
-                    yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in range(4)], names=["a", "n", "b", "m"])
+                            good.append((a, size, node, n, salt))
+                    types = [pa.int64()] * 4 + [pa.int32()]
+                    yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], t) for k, t in enumerate(types)], names=["a", "n", "b", "m", "salt"])
 
             return run
 
-        schema = "a long, n long, b long, m long"
+        schema = "a long, n long, b long, m long, salt int"
         left = self.gathered(places(pairs), nodes, ["a", "salt"], True).mapInArrow(check(lambda x: np.frombuffer(x, np.uint32), sketches_meet), schema)
         left = settle(left, "pairs")
         found = self.gathered(places(left), nodes, ["a", "salt"], False).mapInArrow(check(_unpack, lambda n, x, m, y: similar(x, y)), schema)
@@ -412,8 +413,9 @@ class Join:
 
         return settle(met.mapInArrow(check, "a long, b long").distinct(), "links")
 
-    def cross(self, buckets: DataFrame, hubs: DataFrame, roots: DataFrame) -> DataFrame:
-        """(a, n, b, m): pairs of nodes that share enough and are neither of one hub nor in one component yet."""
+    def cross(self, buckets: DataFrame, hubs: DataFrame, roots: DataFrame) -> tuple[DataFrame, dict]:
+        """(a, n, b, m): pairs of nodes that share enough and are neither of one hub nor in one component yet; and how
+        many."""
         known = hubs.select("node", "hub").join(roots, "node", "full")
         rest = buckets.select("token", "node", "n").join(known, "node", "left").withColumns({"root": F.coalesce("root", "node"), "hub": F.coalesce("hub", "node")})
         rest = settle(rest, "named-buckets")
@@ -423,7 +425,7 @@ class Join:
             rest = settle(_enough(rest), "mixed-buckets")
         met = _meetings(rest)
         met = met.groupBy(F.col("x.node").alias("a"), F.col("x.n").alias("n"), F.col("y.node").alias("b"), F.col("y.n").alias("m")).agg(F.count("*").alias("shared"))
-        return settle(met.filter(F.col("shared") >= _needed("n", "m", DEPTH)).drop("shared"), "cross-pairs")
+        return settle_counted(met.filter(F.col("shared") >= _needed("n", "m", DEPTH)).drop("shared"), "cross-pairs", n=F.count("*"))
 
     def run(self) -> DataFrame:
         members = self.members()
@@ -434,10 +436,14 @@ class Join:
         links = self.stars(hubs.select(F.col("hub").alias("a"), F.col("hub_n").alias("n"), F.col("node").alias("b"), F.col("n").alias("m")), nodes)
         links = links.union(self.blocks(hubs, links, nodes))
         roots = settle(components(links), "roots")
-        cross = self.cross(buckets, hubs, roots)
-        if not cross.isEmpty():
-            roots = settle(components(links.union(self.stars(cross, nodes))), "roots")
+        cross, found = self.cross(buckets, hubs, roots)
         joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if found["n"]:
+            # a few links among components: only their roots are joined anew
+            named = roots.union(nodes.select("node", F.col("node").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+            new = self.stars(cross, nodes).join(named.toDF("a", "ra"), "a").join(named.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+            again = settle(components(new), "roots").toDF("root", "top")
+            joined = joined.join(again, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
         least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         named = joined.join(least, "root").select("node", "root", "component_id")
         component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
