@@ -44,10 +44,10 @@ def _interpolate(spark, sf_dir):
 
 @register("window_ema", """WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
   r AS (SELECT event_id, user_id, rn, value::DOUBLE AS s FROM e WHERE rn = 1 UNION ALL SELECT e.event_id, e.user_id, e.rn, 0.5::DOUBLE * e.value + 0.5::DOUBLE * r.s FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
-  SELECT event_id, round(s, 3) AS ema FROM r""")
+  SELECT event_id, round(s + 1e-9, 3) AS ema FROM r""")
 def _ema(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    return T.ema(e, ["user_id"], ["ts", "event_id"], "value").select("event_id", F.round("ema", 3).alias("ema"))
+    return T.ema(e, ["user_id"], ["ts", "event_id"], "value").select("event_id", F.round(F.col("ema") + 1e-9, 3).alias("ema"))
 
 
 @register("lttb")
