@@ -176,24 +176,23 @@ def autocorrelation(df: DataFrame, keys: Sequence[str], order: str, value: str,
     return sums.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
 
 
-def change_points(df: DataFrame, keys: Sequence[str], order: str, value: str, threshold: float = 5.0) -> DataFrame:
-    """(keys, idx): where the two-sided cumulative sum of standard scores passes the threshold; it then starts anew."""
+def change_points(df: DataFrame, keys: Sequence[str], order: str, value: str, threshold: float) -> DataFrame:
+    """(keys, idx): rows, from 0, where the running sum of deviations from the mean passes the threshold; it then
+    starts anew."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        v = frame.sort_values(order)[value].to_numpy(float)
-        z = (v - v.mean()) / (v.std() or 1.0)
-        up = down = 0.0
-        found = []
-        for i, x in enumerate(z):
-            up, down = max(0.0, up + x), max(0.0, down - x)
-            if max(up, down) > threshold:
+        v = frame.sort_values(order, kind="stable")[value].to_numpy(float)
+        total, found = 0.0, []
+        for i, x in enumerate(v - v.mean()):
+            total += x
+            if abs(total) > threshold:
                 found.append(i)
-                up = down = 0.0
+                total = 0.0
         head = frame[list(keys)].iloc[0].tolist()
         return pd.DataFrame([(*head, i) for i in found], columns=[*keys, "idx"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
-    return df.select(*keys, order, value).groupBy(*keys).applyInPandas(run, f"{kinds}, idx int")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for k in keys for f in df.schema if f.name == k)
+    return df.filter(F.col(value).isNotNull()).select(*keys, order, value).groupBy(*keys).applyInPandas(run, f"{kinds}, idx int")
 
 
 def psi(expected: DataFrame, actual: DataFrame, value: str, edges: Sequence[float]) -> DataFrame:
@@ -229,6 +228,47 @@ def average_treatment_effect(df: DataFrame, treated: str, outcome: str, propensi
     return df.agg((one - zero).alias("ate"))
 
 
+def effect_on_treated(df: DataFrame, treated: str, outcome: str, propensity: Column) -> DataFrame:
+    """(att,): the treated rows' mean less that of the others weighted by e / (1 - e); null without treated rows, the
+    treated mean alone without others."""
+    e = F.least(F.greatest(propensity, F.lit(0.01)), F.lit(0.99))
+    t, y, w = F.col(treated), F.col(outcome), e / (1 - e)
+    other = F.sum(F.when(t == 0, w * y)) / F.sum(F.when((t == 0) & F.col(outcome).isNotNull(), w))
+    return df.agg((F.avg(F.when(t == 1, y)) - F.coalesce(other, F.lit(0.0))).alias("att"))
+
+
+def propensity_scores(df: DataFrame, treated: str, covariates: Sequence[str], name: str = "propensity", **settings) -> DataFrame:
+    """The rows with the probability of treatment by logistic regression, kept within 0.01 and 0.99."""
+    from pyspark.ml.functions import vector_to_array
+
+    model = train(df, "logistic", covariates, treated, **settings)
+    kept = [c for c in df.columns if c != name]
+    score = F.least(F.greatest(vector_to_array("probability")[1], F.lit(0.01)), F.lit(0.99))
+    return model.transform(df).select(*kept, score.alias(name))
+
+
+def column_profile(df: DataFrame, column: str, top: int = 3) -> DataFrame:
+    """(statistic, value) of one column as text: rows, nulls, distinct values, extremes, mean and spread of numbers, and
+    the most frequent values, ties to the smaller. Values are counted first, so the statistics read the counts."""
+    kind = dict(df.dtypes)[column]
+    number = kind in ("int", "bigint", "double", "float", "smallint", "tinyint") or kind.startswith("decimal")
+    counts = df.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    some = F.col("v").isNotNull()
+    told = {
+        "row_count": F.coalesce(F.sum("n"), F.lit(0)), "null_count": F.coalesce(F.sum(F.when(~some, F.col("n"))), F.lit(0)), "distinct_count": F.count("v"),
+        "min": F.min("v"), "max": F.max("v"),
+    }
+    if number:
+        x, n = F.col("v").cast("double"), F.when(some, F.col("n"))
+        mean = F.sum(x * n) / F.sum(n)
+        told |= {"mean": mean, "stddev": F.sqrt(F.greatest((F.sum(x * x * n) - mean * mean * F.sum(n)) / F.nullif(F.sum(n) - 1, F.lit(0)), F.lit(0.0)))}
+    rows = [F.struct(F.lit(k).alias("statistic"), c.cast("string").alias("value")) for k, c in told.items()]
+    stats = counts.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    first = counts.filter(some).orderBy(F.desc("n"), "v").limit(top)
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "v"))  # at most ``top`` rows
+    return stats.union(first.select(F.concat(F.lit("top_"), place).alias("statistic"), F.col("v").cast("string")))
+
+
 def date_features(ts: Column) -> dict[str, Column]:
     return {
         "year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts), "dow": F.dayofweek(ts) - 1, "hour": F.hour(ts), "is_weekend": F.dayofweek(ts).isin(1, 7),

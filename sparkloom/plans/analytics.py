@@ -128,10 +128,30 @@ def _acf(spark, sf_dir):
     return A.autocorrelation(d, ["event_type"], "d", "n", 2).withColumn("value", F.round("value", 6))
 
 
-@register("change_points")
+@register("change_points", """WITH RECURSIVE d AS (SELECT event_type, ts::DATE AS d, round(sum(value), 4) AS s FROM events GROUP BY 1, 2),
+  x AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY d) - 1 AS i, s - avg(s) OVER (PARTITION BY event_type) AS x FROM d),
+  r AS (SELECT event_type, i, x AS t FROM x WHERE i = 0 UNION ALL SELECT x.event_type, x.i, (CASE WHEN abs(r.t) > 100 THEN 0 ELSE r.t END) + x.x FROM r JOIN x ON x.event_type = r.event_type AND x.i = r.i + 1)
+  SELECT event_type, i AS idx FROM r WHERE abs(t) > 100""")
 def _changes(spark, sf_dir):
-    d = table(spark, sf_dir, "events").groupBy("event_type", F.col("ts").cast("date").alias("d")).agg(F.sum("value").alias("s"))
-    return A.change_points(d, ["event_type"], "d", "s", 2.0)
+    d = table(spark, sf_dir, "events").groupBy("event_type", F.col("ts").cast("date").alias("d")).agg(F.round(F.sum("value"), 4).alias("s"))
+    return A.change_points(d, ["event_type"], "d", "s", 100.0)
+
+
+@register("effect_on_treated", """WITH e AS (SELECT value, user_id % 2 AS t, CASE WHEN event_type = 'view' THEN 0.6 ELSE 0.4 END::DOUBLE AS e FROM events)
+  SELECT round(avg(value) FILTER (WHERE t = 1) - sum(value * e / (1 - e)) FILTER (WHERE t = 0) / sum(e / (1 - e)) FILTER (WHERE t = 0), 6) AS att FROM e""")
+def _att(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("value", (F.col("user_id") % 2).alias("t"), F.when(F.col("event_type") == "view", 0.6).otherwise(0.4).alias("e"))
+    return A.effect_on_treated(e, "t", "value", F.col("e")).select(F.round("att", 6).alias("att"))
+
+
+_TOP = "SELECT p_brand, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS k FROM part WHERE p_brand IS NOT NULL GROUP BY 1"
+
+
+@register("column_profile", f"""WITH t AS ({_TOP}) SELECT 'row_count' AS statistic, count(*)::VARCHAR AS value FROM part UNION ALL SELECT 'null_count', (count(*) - count(p_brand))::VARCHAR FROM part
+  UNION ALL SELECT 'distinct_count', count(DISTINCT p_brand)::VARCHAR FROM part UNION ALL SELECT 'min', min(p_brand) FROM part UNION ALL SELECT 'max', max(p_brand) FROM part
+  UNION ALL SELECT 'top_' || k, p_brand FROM t WHERE k <= 3""")
+def _column_profile(spark, sf_dir):
+    return A.column_profile(table(spark, sf_dir, "part"), "p_brand")
 
 
 @register("population_stability", """WITH b AS (SELECT (value >= 25)::INT + (value >= 50)::INT + (value >= 75)::INT AS bin, event_type = 'view' AS e, event_type = 'click' AS a FROM events), c AS (SELECT bin, count(*) FILTER (WHERE e) AS e, count(*) FILTER (WHERE a) AS a FROM b GROUP BY 1),
