@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .relational import asof_join, running_totals
+
 
 def cohort_retention(df: DataFrame, user: str, ts: str, period: str = "week", periods: int = 12, revenue: str | None = None) -> DataFrame:
     """(cohort, period, value): users, or revenue, of each cohort so many periods after its first event; zero-filled."""
@@ -66,29 +68,36 @@ def funnel(df: DataFrame, user: str, ts: str, event: str, steps: Sequence[str],
 
 
 def data_profile(df: DataFrame) -> DataFrame:
-    """(column_name, data_type, null_count, distinct_count, mean, median, stddev): one aggregate over all columns."""
-    kinds = dict(df.dtypes)
-    number = lambda c: kinds[c] in ("int", "bigint", "double", "float", "smallint", "tinyint") or kinds[c].startswith("decimal")
-    one = lambda c, f: f if number(c) else F.lit(None).cast("double")
-    rows = [
-        F.struct(
-            F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("data_type"), F.count(F.when(F.col(c).isNull(), 1)).alias("null_count"), F.count_distinct(c).alias("distinct_count"),
-            one(c, F.avg(c)).alias("mean"), one(c, F.percentile(c, 0.5)).alias("median"), one(c, F.stddev_samp(c)).alias("stddev"),
-        )
-        for c in df.columns
-    ]
-    return df.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+    """(column_name, data_type, null_count, distinct_count, mean, median, stddev), exact. Each column's values are counted
+    first, which combines before the shuffle and reads one column; the statistics are those of the counts. Nothing
+    multiplies the rows by the columns."""
+    number = lambda kind: kind in ("int", "bigint", "double", "float", "smallint", "tinyint") or kind.startswith("decimal")
+
+    def one(name: str, kind: str) -> DataFrame:
+        counts = df.groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n"))
+        some, mean, median, spread = F.when(F.col("v").isNotNull(), F.col("n")), *[F.lit(None).cast("double")] * 3
+        if number(kind):
+            x = F.col("v").cast("double")
+            mean = F.sum(x * some) / F.sum(some)
+            median = F.percentile(x, 0.5, F.coalesce(some, F.lit(0)))
+            # deviations are taken from a value at hand, so that large means do not cancel the spread
+            d = x - F.col("_at")
+            spread = F.sqrt(F.greatest(F.sum(d * d * some) - F.sum(d * some) * F.sum(d * some) / F.sum(some), F.lit(0.0)) / F.nullif(F.sum(some) - 1, F.lit(0)))
+            counts = counts.crossJoin(F.broadcast(df.agg(F.avg(F.col(name).cast("double")).alias("_at"))))  # one row
+        told = [F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"), F.count("v").alias("distinct_count")]
+        return counts.agg(*told, mean.alias("mean"), median.alias("median"), spread.alias("stddev")).select(F.lit(name).alias("column_name"), F.lit(kind).alias("data_type"), "*")
+
+    return reduce(DataFrame.union, [one(*c) for c in df.dtypes])
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
     """(col_a, col_b, correlation) of each pair; Spearman is Pearson over average ranks."""
     if method == "spearman":
-        # average rank = rows below + (ties + 1) / 2; ranks come from counts per value, not from one sorted task
+        # average rank = rows up to the value - (ties - 1) / 2; ranks come from counts per value, summed by ranges
         n = df
         for c in columns:
             counts = df.groupBy(c).agg(F.count("*").alias("_n"))
-            w = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-            ranks = counts.select(c, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2).alias(f"_r_{c}"))
+            ranks = running_totals(counts, c, ["_n"]).select(c, (F.col("_run__n") - (F.col("_n") - 1) / 2).alias(f"_r_{c}"))
             n = n.join(ranks, c)
         df = n.select(*[F.col(f"_r_{c}").alias(c) for c in columns])
     pairs = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.corr(a, b).alias("correlation")) for i, a in enumerate(columns) for b in columns[i:]]
@@ -129,8 +138,6 @@ def polynomial_features(df: DataFrame, columns: Sequence[str], degree: int = 2)
 
 def point_in_time(features: DataFrame, entities: DataFrame, entity: str, ts: str, feature_ts: str) -> DataFrame:
     """Each entity row with the latest features not after its time."""
-    from .relational import asof_join
-
     return asof_join(entities, features, [entity], ts, feature_ts)
 
 
@@ -209,9 +216,9 @@ def ks_test(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """The largest distance between the two distribution functions."""
     both = a.select(value, F.lit(1.0).alias("x"), F.lit(0.0).alias("y")).union(b.select(value, F.lit(0.0), F.lit(1.0)))
     per = both.groupBy(value).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    run = running_totals(per, value, ["x", "y"])
     total = per.agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"))
-    return per.select(F.sum("x").over(w).alias("cx"), F.sum("y").over(w).alias("cy")).crossJoin(F.broadcast(total)).agg(F.max(F.abs(F.col("cx") / F.col("nx") - F.col("cy") / F.col("ny"))).alias("ks"))
+    return run.select(F.col("_run_x").alias("cx"), F.col("_run_y").alias("cy")).crossJoin(F.broadcast(total)).agg(F.max(F.abs(F.col("cx") / F.col("nx") - F.col("cy") / F.col("ny"))).alias("ks"))
 
 
 def diff_in_diff(df: DataFrame, treated: str, post: str, outcome: str) -> DataFrame:

@@ -47,6 +47,22 @@ def limit_with_ties(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return df.crossJoin(F.broadcast(last)).filter(F.struct(*order) <= F.col("_last")).drop("_last")
 
 
+def running_totals(df: DataFrame, order: str, values: Sequence[str], name: str = "_run_{}", ranges: int = 256) -> DataFrame:
+    """The rows with the total of each column up to and with the row in ascending ``order``, which is unique or null once.
+
+    No task sees the whole table: approximate quantiles cut the order into ranges, totals run inside each range, and
+    the totals of the ranges before (at most ``ranges`` rows, hence broadcast) are added."""
+    edges = df.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 10_000).alias("e")).first()["e"] or []
+    cut = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e <= F.col(order))) if edges else F.lit(0)
+    rows = df.withColumn("_range", cut)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_range").agg(*[F.sum(v).alias(f"_sum_{v}") for v in values])
+    base = sums.select("_range", *[F.coalesce(F.sum(f"_sum_{v}").over(before), F.lit(0)).alias(f"_base_{v}") for v in values])
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = [(F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"_base_{v}")).alias(name.format(v)) for v in values]
+    return rows.join(F.broadcast(base), "_range").select(*df.columns, *totals)
+
+
 def user_aggregate(df: DataFrame, keys: Sequence[str], value: str, initial, step: Callable, combine: Callable, final: Callable, kind: str, name: str) -> DataFrame:
     """A user-defined aggregate in two phases: states per partition and key, then combined by key."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in keys)

@@ -3,6 +3,7 @@ kept by increments, constraints, quality checks, masking, retention and audit.""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -199,11 +200,23 @@ def classify_pii(df: DataFrame, columns: Sequence[str], least: float = 0.5) -> D
 
 
 def audit_chain(df: DataFrame, keys: Sequence[str], order: str, payload: Sequence[str]) -> DataFrame:
-    """Each row's digest over its payload and all before it in its key: a change anywhere changes all digests after."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    body = F.sha2(F.to_json(F.struct(*payload)), 256)
-    digest = F.aggregate(F.collect_list("_body").over(w), F.lit(""), lambda acc, x: F.sha2(F.concat(acc, x), 256))
-    return df.withColumn("_body", body).withColumn("digest", digest).drop("_body")
+    """Each row's digest over its payload and all before it in its key: a change anywhere changes all digests after.
+    Rows pass once, sorted by key and order, and only the last key and digest are carried from batch to batch."""
+    names = [c for c in df.columns if c != "digest"]
+    body = df.select(*names, F.sha2(F.to_json(F.struct(*payload)), 256).alias("digest"), F.to_json(F.struct(*keys)).alias("_key"))
+
+    def chain(frames):
+        key, last = None, ""
+        for frame in frames:
+            out = []
+            for k, own in zip(frame["_key"], frame["digest"], strict=True):
+                last = hashlib.sha256(((last if k == key else "") + own).encode()).hexdigest()
+                key = k
+                out.append(last)
+            yield frame.drop(columns="_key").assign(digest=out)
+
+    sorted_rows = body.repartition("_key").sortWithinPartitions("_key", order)
+    return sorted_rows.mapInPandas(chain, body.drop("_key").schema)
 
 
 def z_order(df: DataFrame, columns: Sequence[str], partitions: int, bits: int = 8) -> DataFrame:

@@ -50,12 +50,23 @@ class Lake:
             return {"folders": [], "at": 0.0, "op": "none"}
         return self._read(f"_manifest/{branch}/{have[-1] if version is None else version:09d}.json")
 
-    def _commit(self, folders: list[str], op: str, branch: str) -> int:
+    def _commit(self, folders: list[str], op: str, branch: str, start: dict | None = None) -> int:
         have = self.versions(branch)
         number = have[-1] + 1 if have else 0
-        self._write(f"_manifest/{branch}/{number:09d}.json", {"folders": folders, "at": time.time(), "op": op})
+        start = start or (self._manifest(branch, None).get("start") if have else None)
+        self._write(f"_manifest/{branch}/{number:09d}.json", {"folders": folders, "at": time.time(), "op": op} | ({"start": start} if start else {}))
         return number
 
+    def _rewrite(self, condition, change, op: str, branch: str) -> int:
+        """A version in which the folders that hold a hit are written anew by ``change``; the others stay as they are."""
+        folders = self._manifest(branch, None)["folders"]
+        found = self.read(branch=branch).filter(condition).select(F.regexp_extract("_metadata.file_path", r"/(data/[0-9a-f]{32})/", 1).alias("f")).distinct()
+        hit = {r.f for r in found.collect()}  # at most the folders of one manifest
+        if not hit:
+            return self._commit(folders, op, branch)
+        fresh = self._data(change(self.spark.read.parquet(*[f"{self.path}/{f}" for f in folders if f in hit])))
+        return self._commit([f for f in folders if f not in hit] + [fresh], op, branch)
+
     def _data(self, df: DataFrame) -> str:
         name = f"data/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}")
@@ -80,20 +91,28 @@ class Lake:
         return self.spark.read.parquet(*[f"{self.path}/{f}" for f in folders])
 
     def delete_where(self, condition, branch: str = "main") -> int:
-        return self.overwrite(self.read(branch=branch).filter(~F.coalesce(condition, F.lit(False))), branch, "delete")
+        return self._rewrite(condition, lambda df: df.filter(~F.coalesce(condition, F.lit(False))), "delete", branch)
 
     def update_where(self, condition, assignments: dict, branch: str = "main") -> int:
-        df = self.read(branch=branch)
-        return self.overwrite(df.withColumns({c: F.when(condition, v).otherwise(F.col(c)) for c, v in assignments.items()}), branch, "update")
+        change = lambda df: df.withColumns({c: F.when(condition, v).otherwise(F.col(c)) for c, v in assignments.items()})
+        return self._rewrite(condition, change, "update", branch)
 
     def restore(self, version: int, branch: str = "main") -> int:
         return self._commit(self._manifest(branch, version)["folders"], "restore", branch)
 
     def create_branch(self, name: str, base: str = "main") -> int:
-        return self._commit(self._manifest(base, None)["folders"], f"branch of {base}", name)
+        folders = self._manifest(base, None)["folders"]
+        return self._commit(folders, f"branch of {base}", name, {"base": base, "folders": folders})
 
     def fast_forward(self, base: str, branch: str) -> int:
-        return self._commit(self._manifest(branch, None)["folders"], f"merge of {branch}", base)
+        """Takes over the branch's newest version; raises if ``base`` holds other data than when the branch was made."""
+        newest = self._manifest(branch, None)
+        start = newest.get("start") or {}
+        if start.get("base") != base or start["folders"] != self._manifest(base, None)["folders"]:
+            raise RuntimeError(f"{base} is not what {branch} was made from")
+        number = self._commit(newest["folders"], f"merge of {branch}", base)
+        self._commit(newest["folders"], f"merged into {base}", branch, {"base": base, "folders": newest["folders"]})
+        return number
 
     def optimize(self, files: int, branch: str = "main") -> int:
         """Fewer, larger files; the version before stays readable."""
