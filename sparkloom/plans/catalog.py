@@ -80,7 +80,7 @@ def sql(name: str, text: str, oracle: str | None = None) -> None:
 
 
 def _load() -> None:
-    from . import analytics, analyzers, forecasts, relational, scalar, search, temporal, versioned  # noqa: F401
+    from . import analytics, analyzers, changes, forecasts, relational, scalar, search, temporal, versioned  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
