@@ -21,10 +21,11 @@ def decode_debezium(messages: DataFrame, value: str, columns: str) -> DataFrame:
     carry the row before. Messages without a known op, such as tombstones, give no row."""
     inner = f"before struct<{_ddl(columns)}>, after struct<{_ddl(columns)}>, op string"
     read = messages.withColumn("_m", F.from_json(value, f"payload struct<{_ddl(inner)}>, {inner}"))
-    read = read.withColumn("_m", F.coalesce("_m.payload", F.struct("_m.before", "_m.after", "_m.op")))
-    row = F.when(F.col("_m.op") == "d", F.col("_m.before")).otherwise(F.col("_m.after"))
+    part = lambda c: F.coalesce(f"_m.payload.{c}", f"_m.{c}")
+    told = read.withColumn("_change_type", _named(part("op"))).filter("_change_type IS NOT NULL")
     kept = [c for c in messages.columns if c != value]
-    return read.filter(_named(F.col("_m.op")).isNotNull()).select(*kept, row.alias("_row"), _named(F.col("_m.op")).alias("_change_type")).select(*kept, "_row.*", "_change_type")
+    row = F.when(F.col("_change_type") == "delete", part("before")).otherwise(part("after"))
+    return told.select(*kept, row.alias("_row"), "_change_type").select(*kept, "_row.*", "_change_type")
 
 
 def _ddl(columns: str) -> str:
