@@ -126,3 +126,22 @@ def _hops(spark, sf_dir):
 @register("graph_communities")
 def _communities(spark, sf_dir):
     return G.communities(_edges(spark, sf_dir))
+
+
+@register("graph_pattern", f"""WITH e AS ({_EDGES}), n AS (SELECT user_id AS id, count(*) AS events FROM events GROUP BY 1)
+  SELECT p.src AS a, p.dst AS b, q.src AS c FROM e p JOIN e q ON q.dst = p.dst JOIN n x ON x.id = p.src JOIN n y ON y.id = q.src WHERE p.src < q.src AND x.events = y.events AND p.dst <> p.src AND p.dst <> q.src""")
+def _pattern(spark, sf_dir):
+    nodes = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("events"))
+    where = "a < c AND a_node.events = c_node.events AND b <> a AND b <> c"
+    return G.match_pattern(_edges(spark, sf_dir), ["a", "b", "c"], ["out", "in"], nodes, where).select("a", "b", "c")
+
+
+@register("graph_betweenness")
+def _betweenness(spark, sf_dir):
+    return G.betweenness(_edges(spark, sf_dir)).withColumn("centrality", F.round("centrality", 6))
+
+
+@register("graph_shortest_routes")
+def _routes(spark, sf_dir):
+    e = _edges(spark, sf_dir).withColumn("w", 1.0 + (F.col("src") + F.col("dst")) % 5)
+    return G.shortest_routes(e, 3, "w")
