@@ -115,10 +115,13 @@ def _forecast(spark, sf_dir):
     return A.forecast(d, ["event_type"], "d", "n", 3).withColumn("value", F.round("value", 6))
 
 
-@register("forecast_holt")
+@register("forecast_holt", """WITH RECURSIVE d AS (SELECT event_type, ts::DATE AS d, count(*)::DOUBLE AS n, row_number() OVER (PARTITION BY event_type ORDER BY ts::DATE) - 1 AS i FROM events GROUP BY 1, 2),
+  r AS (SELECT a.event_type, a.i, a.n AS l, coalesce(b.n - a.n, 0) AS b FROM d a LEFT JOIN d b ON b.event_type = a.event_type AND b.i = 1 WHERE a.i = 0
+    UNION ALL SELECT event_type, i, l, 0.1::DOUBLE * (l - l0) + 0.9::DOUBLE * b AS b FROM (SELECT d.event_type, d.i, r.l AS l0, r.b, 0.3::DOUBLE * d.n + 0.7::DOUBLE * (r.l + r.b) AS l FROM r JOIN d ON d.event_type = r.event_type AND d.i = r.i + 1) t)
+  SELECT event_type, h::INT AS step, round(l + h * b, 6) AS value FROM (SELECT event_type, arg_max(l, i) AS l, arg_max(b, i) AS b FROM r GROUP BY 1) z, range(1, 4) t(h)""")
 def _holt(spark, sf_dir):
     d = table(spark, sf_dir, "events").groupBy("event_type", F.col("ts").cast("date").alias("d")).agg(F.count("*").alias("n"))
-    return A.forecast(d, ["event_type"], "d", "n", 3, "holt")
+    return A.forecast(d, ["event_type"], "d", "n", 3, "holt").withColumn("value", F.round("value", 6))
 
 
 @register("autocorrelation", """WITH d AS (SELECT event_type, ts::DATE AS d, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2), c AS (SELECT event_type, d, n - avg(n) OVER (PARTITION BY event_type) AS x FROM d),

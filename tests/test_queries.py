@@ -4,10 +4,12 @@ import collections
 import datetime
 import decimal
 import math
+import re
 
 import duckdb
 import pytest
 
+from sparkloom.operators.analyzers import STOP, porter
 from sparkloom.plans import catalog
 
 TABLES = catalog.TABLES
@@ -55,7 +57,12 @@ FACTS = {
     "lttb": lambda rows, t: max(collections.Counter(r.event_type for r in rows).values()) <= 50 and {r.event_type for r in rows} == t("events", "event_type"),
     "sketches": lambda rows, t: {r.event_type for r in rows} == t("events", "event_type") and all(0 < r.users <= 1.1 * len(t("events", "user_id")) for r in rows),
     "graph_communities": lambda rows, t: len({r.id for r in rows}) == len(rows) and {r.community for r in rows} <= {r.id for r in rows},
-    "forecast_holt": lambda rows, t: len(rows) == 3 * len(t("events", "event_type")),
+    "forecast_arima": lambda rows, t: len(rows) == 5 * len(t("events", "event_type")) and all(math.isfinite(r.value) for r in rows),
+    "graph_betweenness": lambda rows, t: {r.id for r in rows} <= t("events", "user_id") and len({r.id for r in rows}) == len(rows) and min(r.centrality for r in rows) >= 0,
+    "graph_shortest_routes": lambda rows, t: all(r.route[0] == 3 and r.route[-1] == r.id and len(set(r.route)) == len(r.route) and r.distance >= len(r.route) - 1 for r in rows),
+    "fulltext_fragments": lambda rows, t: {r.doc_id for r in rows} == t("documents", "doc_id"),
+    # a stem may equal a stop word (thes): those go before stemming
+    "analyze_standard": lambda rows, t: {r.term for r in rows} == {porter(w) for x in t("benchmark", "text") for w in re.findall(r"[^\W_]+", x.lower()) if w not in STOP["en"]},
 }
 
 
