@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 The vocabulary is that of the benchmark; the counts behind its inverse frequencies cover all documents. A randomised
-SVD of TF-IDF passages (the benchmark's items and the windows of a bounded sample of documents) is built from sums
-over partitions: each step sends back a matrix of vocabulary by rank. Every window of every document is then compared
+SVD of TF-IDF passages (the benchmark's items and the windows of all documents) is built from sums over partitions:
+the passages' known words are written once, packed, and each step reads them and sends back a matrix of vocabulary by
+rank. Every window of every document is then compared
 with all items by the cosine in the latent space, unless the length of its latent vector rules all of them out. A text that has SHORT_WORDS words in a row of an item is a candidate too, whatever its
 cosine, so no literal copy is missed. Candidates are checked where they are found, on whole texts: the longest common
 subsequence of words with the item, and, for the less than literal ones, the words of the item's answer (its last
@@ -34,8 +35,8 @@ BLOCK_WORDS = 16
 #: Windows, in blocks; each starts at every block.
 WINDOWS = (1, 2, 4)
 RANK, OVERSAMPLE, POWER_STEPS = 192, 8, 2
-#: Documents, about, whose windows the basis is fitted on; chosen by a hash of the id.
-SAMPLE_DOCS = 1_500
+#: Words of a passage that the basis is fitted on; passages that are multiplied at a time.
+PASSAGE, PASSAGES = 64, 32
 ITEM_BLOCK = 2_000
 #: Items that share a basis: hardly more than its rank, or an item keeps only a small part of its energy.
 BASIS_ITEMS = 200
@@ -364,6 +365,30 @@ def _binary(x: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["m"])
 
 
+def pack_passages(places: np.ndarray, ranges: np.ndarray, size: int) -> np.ndarray:
+    """The known words of a chunk's passages as bytes: for each passage that has any their number, then their places
+    and how often each occurs. ``places``: of all words among ``size``, or -1; ``ranges``: each text's range of words."""
+    n_words = np.diff(ranges)
+    n_passages = -(-n_words // PASSAGE)
+    within = np.arange(len(places)) - np.repeat(ranges[:-1], n_words)
+    passage = np.repeat(np.cumsum(n_passages) - n_passages, n_words) + within // PASSAGE
+    known = np.flatnonzero(places >= 0)
+    keys, times = np.unique(passage[known] * size + places[known], return_counts=True)
+    passage, at = np.divmod(keys, size)
+    sizes = np.unique(passage, return_counts=True)[1]
+    numbers = np.concatenate([[len(n_words), len(places), len(sizes)], sizes, at, times]).astype("<i4")
+    return np.frombuffer(pack(numbers), np.uint8)
+
+
+def unpack_passages(packed) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents and words of the chunk; its passages' numbers of known words, these words' places and their counts."""
+    import zstandard
+
+    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<i4")
+    documents, words, n = x[:3].tolist()
+    return documents, words, x[3 : 3 + n], *np.split(x[3 + n :], 2)
+
+
 def fit(docs: DataFrame, items: list[Item]) -> list[Retriever]:
     """``docs``: (doc_id, text). A retriever for each BASIS_ITEMS of the items."""
     spark = docs.sparkSession
@@ -371,51 +396,39 @@ def fit(docs: DataFrame, items: list[Item]) -> list[Retriever]:
     size = len(vocabulary.hashes)
     parts = [items[k : k + BASIS_ITEMS] for k in range(0, len(items), BASIS_ITEMS)]
     found = [Retriever(Vocabulary(np.concatenate([i.words for i in part])), part) for part in parts]
+    if not size:
+        return []
     shared = spark.sparkContext.broadcast(vocabulary)
 
-    def count(batches):
+    def write(batches):
         known = shared.value
+        for batch in batches:
+            for _, _, data, offsets in K.chunks(batch.column(0)):
+                words, ranges = words_of(data, offsets)
+                yield _binary(pack_passages(known.places(words), ranges, size))
+
+    def count(batches):
         counts = np.zeros(size + 2, np.int64)  # each word of the vocabulary, all words, documents
         for batch in batches:
-            for i, j, data, offsets in K.chunks(batch.column(0)):
-                words, _ = words_of(data, offsets)
-                places = known.places(words)
-                counts[:size] += np.bincount(places[places >= 0], minlength=size)[:size]
-                counts[size] += len(words)
-                counts[size + 1] += j - i
+            for x in batch.column(0):
+                documents, words, _, places, times = unpack_passages(x.as_buffer())
+                counts[:size] += np.bincount(places, times, size).astype(np.int64)
+                counts[size:] += words, documents
         yield _binary(counts)
 
-    counts = add_up(docs.select("text").mapInArrow(count, "m binary"), (size + 2,), "<i8")
+    passages = settle(docs.select("text").mapInArrow(write, "m binary"), "passages")
+    counts = add_up(passages.mapInArrow(count, "m binary"), (size + 2,), "<i8")
     for retriever in found:
         retriever.weigh(counts[vocabulary.places(retriever.vocabulary.hashes)], counts[size])
         retriever.index_runs()
-    if not size:
-        return []
-    share = min(1.0, SAMPLE_DOCS / max(counts[size + 1], 1))
-
-    def passages(batches):
-        known = shared.value
-        for batch in batches:
-            for _, _, data, offsets in K.chunks(batch.column(0)):
-                words, ranges = words_of(data, offsets)
-                places = known.places(words)
-                rows = []
-                for a, b in zip(ranges[:-1], ranges[1:], strict=True):
-                    rows += [p[p >= 0] for p in (places[k : k + 64] for k in range(a, b, 64))]
-                edges = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([*rows, places[:0]])))], names=["places"])
-
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
-    sample = settle(chosen.mapInArrow(passages, "places array<int>"), "passages")
-    for retriever in found:
         if len(retriever.vocabulary.hashes):
-            retriever.project(_basis(sample, retriever, vocabulary, max(counts[size + 1] * share, 1)))
+            retriever.project(_basis(passages, retriever, vocabulary, max(counts[size + 1], 1)))
     return [r for r in found if len(r.vocabulary.hashes)]
 
 
-def _basis(sample: DataFrame, retriever: Retriever, known: Vocabulary, n_docs: float) -> np.ndarray:
-    """The basis of a retriever's items and of the sample's passages, which hold places of ``known``."""
-    spark = sample.sparkSession
+def _basis(passages: DataFrame, retriever: Retriever, known: Vocabulary, n_docs: float) -> np.ndarray:
+    """The basis of a retriever's items and of all passages, which hold places of ``known``."""
+    spark = passages.sparkSession
     idf, size = retriever.idf, len(retriever.idf)
     mine = retriever.vocabulary.places(known.hashes)
     own = np.stack([retriever.vector(retriever.vocabulary.places(i.words)) for i in retriever.items])
@@ -429,17 +442,22 @@ def _basis(sample: DataFrame, retriever: Retriever, known: Vocabulary, n_docs: f
             q = sent.value
             total = np.zeros_like(q)
             for batch in batches:
-                for row in batch.column(0):
-                    p = mine[row.values.to_numpy()] if row.is_valid else np.zeros(0, np.int32)
-                    p = p[p >= 0]
-                    if len(p):
-                        places, times = np.unique(p, return_counts=True)
-                        x = idf[places] * times
-                        x /= max(float(np.linalg.norm(x)), 1e-6)
-                        total[places] += x[:, None] * (x @ q[places])
+                for m in batch.column(0):
+                    _, _, sizes, places, times = unpack_passages(m.as_buffer())
+                    places = mine[places]
+                    some = np.flatnonzero(places >= 0)
+                    places, passage = places[some], np.repeat(np.arange(len(sizes)), sizes)[some]
+                    x = idf[places] * times[some]
+                    x = (x / np.maximum(np.sqrt(np.bincount(passage, x * x, len(sizes))), 1e-6)[passage]).astype(np.float32)
+                    edges = np.searchsorted(passage, np.arange(0, len(sizes) + PASSAGES, PASSAGES))
+                    for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                        used, column = np.unique(places[a:b], return_inverse=True)
+                        dense = np.zeros((PASSAGES, len(used)), np.float32)
+                        dense[passage[a:b] - k * PASSAGES, column] = x[a:b]
+                        total[used] += dense.T @ (dense @ q[used])
             yield _binary(total)
 
-        return own.T @ (own @ basis) + add_up(sample.mapInArrow(multiply, "m binary"), basis.shape) / n_docs * 0.05
+        return own.T @ (own @ basis) + add_up(passages.mapInArrow(multiply, "m binary"), basis.shape) / n_docs * 0.05
 
     rank = min(RANK + OVERSAMPLE, size)
     q = np.linalg.qr(np.random.Generator(np.random.PCG64(5)).normal(size=(size, rank)).astype(np.float32))[0]

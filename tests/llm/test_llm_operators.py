@@ -214,6 +214,31 @@ def test_op2_recall_does_not_fall_with_the_size_of_the_benchmark(spark):
     assert len(literal) > 300 and len(literal & got) >= 0.99 * len(literal)
 
 
+def test_op2_basis_is_of_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "RANK", 2)
+    monkeypatch.setattr(decontaminate, "OVERSAMPLE", 2)
+    kinds = [[f"{kind}{k}" for k in range(8)] for kind in "abc"]
+    item = decontaminate.Item.of(1, " ".join(sum(kinds, [])))
+    # a quarter of the ids, by their hash, holds a's; most of the others hold b's
+    kind = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= 1 << 18, 0).when(F.col("doc_id") % 8 > 0, 1).otherwise(2)
+    docs = spark.range(6000).withColumnRenamed("id", "doc_id").withColumn("text", F.element_at(F.array(*[F.lit(" ".join(k)) for k in kinds]), kind + 1))
+    (r,) = decontaminate.fit(docs, [item])
+    places = r.vocabulary.places(decontaminate.text_words(" ".join(kinds[1])))
+    assert (r.scaled[places].sum(0) ** 2).sum() > 0.9 * (r.vector(places) ** 2).sum()
+
+
+def test_op2_passages_keep_every_known_word():
+    rng = np.random.default_rng(4)
+    ranges = np.array([0, 0, 70, 71, 71, 400])
+    places = rng.integers(-3, 9, 400).astype(np.int32)
+    documents, words, sizes, at, times = decontaminate.unpack_passages(decontaminate.pack_passages(places, ranges, 9).tobytes())
+    want = [collections.Counter(p for p in places[k : min(k + 64, b)].tolist() if p >= 0) for a, b in zip(ranges[:-1], ranges[1:], strict=True) for k in range(a, b, 64)]
+    got = [dict(zip(a.tolist(), n.tolist(), strict=True)) for a, n in zip(np.split(at, np.cumsum(sizes)[:-1]), np.split(times, np.cumsum(sizes)[:-1]), strict=True)]
+    assert (documents, words) == (5, 400) and got == [dict(w) for w in want if w]
+    empty = decontaminate.unpack_passages(decontaminate.pack_passages(places[:0], np.zeros(3, np.int64), 9).tobytes())
+    assert empty[:2] == (2, 0) and not any(map(len, empty[2:]))
+
+
 def test_op2_unknown_words_weigh_no_more_in_a_larger_corpus():
     seen = "one two three four five six seven eight nine ten red green blue black white grey pink brown gold teal".split()
     item = decontaminate.Item.of(1, " ".join(seen) + " neverseen")
