@@ -1,19 +1,21 @@
 """Main text of web pages: markup rules, and a host suffix array for what a host repeats.
 
-Pages are dealt out by host; a host of many pages is dealt out as shards of about SHARD_PAGES pages, chosen by a hash
-of the page. Every page's markup is parsed into blocks, each inside an article, inside boilerplate (menus, headers,
-footers, sidebars, notices, adverts, forms, comments) or open. The token streams of a shard's pages are concatenated
-and their suffixes sorted by prefix doubling, with the lengths of the longest common prefixes of neighbours; pages with
-equal streams count as one text. A page with an article is the text of its article, another one its open blocks. Then
+Every page's markup is parsed into blocks, each inside an article, inside boilerplate (menus, headers, footers,
+sidebars, notices, adverts, forms, comments) or open. A page with an article is the text of its article, another one its
+open blocks; pages of a host with equal texts count as one text. Then
 
 - open tokens go that lie in a run of MIN_RUN tokens or more that distinct texts of the host share; stretches of
   COPY_RUN tokens or more stay, for so long a run is a copied text;
 - a block of an article of MIN_RUN tokens or more goes if NOTICE_TEXTS distinct texts at least, and NOTICE_PERCENT of
   all, hold it, and most of the article is not of this kind: then it is a copied article.
 
-Open runs that shards of one host share are found by hashes of runs of MIN_RUN tokens, compared over the host's distinct
-texts and passed back to its shards, so they are those of one suffix array of the whole host. The share of texts that
-hold a notice is that of a shard, which is a random part of its host and has more than SHARD_PAGES / 2 pages.
+What a host repeats is read from its suffix array. The host's texts are dealt out to shards of about SHARD_PAGES by their
+hash, so equal ones meet. The token streams of a shard's texts are concatenated and their suffixes sorted by prefix
+doubling, with the lengths of the longest common prefixes of neighbours. The groups of neighbours that share MIN_RUN open
+tokens, or a whole block of articles, are handed on with the texts that they lie on, groups of one included; the shards'
+groups with the same tokens are put together, which are then the groups of one suffix array of the whole host. Both
+decisions are taken on these, over all texts of the host, and go back to the texts concerned; so the cut into shards
+doesn't show in the result.
 
 Defined cases: a null or empty page has an empty text; all null addresses count as one host; a null ``page_id`` stays
 null; repeated rows are each extracted and count as one text; unclosed elements end where their parent ends, unclosed
@@ -225,23 +227,28 @@ def covered_by(starts: np.ndarray, run: int = MIN_RUN) -> np.ndarray:
 
 
 class Page:
-    """A page's blocks, and hashes of the tokens that a suffix array may decide on."""
+    """The blocks of a page's text, and hashes of the tokens that a suffix array may decide on."""
 
-    def __init__(self, page: str | None):
+    def __init__(self, article: bool, whole: str):
+        self.article, self.whole = article, whole
+        self.blocks = whole.split("\n") if whole else []
+
+    @classmethod
+    def parse(cls, page: str | None) -> Page:
         found, article = blocks(page) if page else ([], False)
         kind = "main" if article and any(k == "main" for k, _ in found) else "open"
-        self.article, self.blocks = kind == "main", [t for k, t in found if k == kind]
-        self.whole = "\n".join(self.blocks)
+        return cls(kind == "main", "\n".join(t for k, t in found if k == kind))
 
     @functools.cached_property
-    def hashed(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """Hashes of the tokens, the places of the blocks' first tokens, and a hash of the whole."""
+    def hashed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the tokens, the places of the blocks' first tokens, and hashes of the blocks."""
         data = np.frombuffer(self.whole.encode(), np.uint8)
         starts, ends, _ = K.spans(~K.WHITE[data], np.array([0, len(data)]))
         breaks = np.flatnonzero(data == 10)
-        hashes = K.hash_spans(K.prefix_sums(data), np.append(starts, 0), np.append(ends, len(data)))
-        edges = np.concatenate([[0], np.searchsorted(starts, breaks), [len(starts)]]) if self.blocks else np.zeros(1, np.int64)
-        return hashes[:-1], edges, int(hashes[-1:].astype(np.int64)[0])
+        if not self.blocks:
+            return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        hashes = K.hash_spans(K.prefix_sums(data), np.concatenate([starts, [0], breaks + 1]), np.concatenate([ends, breaks, [len(data)]]))
+        return hashes[: len(starts)], np.concatenate([[0], np.searchsorted(starts, breaks), [len(starts)]]), hashes[len(starts) :].astype(np.int64)
 
     @property
     def words(self) -> np.ndarray:
@@ -252,7 +259,7 @@ class Page:
         return self.hashed[1]
 
     @property
-    def text(self) -> int:
+    def keys(self) -> np.ndarray:
         return self.hashed[2]
 
     def long_blocks(self) -> list[int]:
@@ -261,6 +268,17 @@ class Page:
     def runs(self) -> np.ndarray:
         return K.windows(self.words, MIN_RUN).astype(np.int64)
 
+    def without(self, keys: np.ndarray) -> str:
+        """The text without the runs or notices whose hashes are ``keys``."""
+        if not len(keys):
+            return self.whole
+        if self.article:
+            return self.result(np.zeros(0, bool), {k for k in self.long_blocks() if self.keys[k] in keys})
+        starts = np.zeros(len(self.words), bool)
+        own = self.runs()
+        starts[: len(own)] = np.isin(own, keys)
+        return self.result(starts, set())
+
     def result(self, starts: np.ndarray, notices: set[int]) -> str:
         """The text without the open runs that start at ``starts``, or without the ``notices`` among an article's blocks."""
         if self.article:
@@ -283,21 +301,19 @@ class Page:
         return "\n".join(out)
 
 
-def extract(pages: list[str | None], shared_runs: np.ndarray | None = None) -> list[str]:
-    """The main texts of the pages of a host or, with the hashes of the runs that its shards share, of a shard."""
-    parsed = [Page(p) for p in pages]
-    texts = {(p.article, p.whole): p for p in parsed}  # each distinct text once
-    articles, opened = ([p for p in texts.values() if p.article == kind and p.blocks] for kind in (True, False))
-    none = np.zeros(0, bool)
-    for p, own in zip(articles, _notices(articles), strict=True):
-        texts[True, p.whole] = p.result(none, own)
-    words, owner, first = _stream(opened)
-    starts = repeated_starts(words, owner)
-    if shared_runs is not None:
-        starts |= np.concatenate([_known(p, shared_runs) for p in opened] + [none])
-    for k, p in enumerate(opened):
-        texts[False, p.whole] = p.result(starts[first[k] : first[k + 1]], set())
-    return [texts[p.article, p.whole] if p.blocks else "" for p in parsed]
+def extract(pages: list[str | None]) -> list[str]:
+    """The main texts of the pages of a host, by one suffix array."""
+    parsed = [Page.parse(p) for p in pages]
+    texts = {(p.article, p.whole): p for p in parsed if p.blocks}  # each distinct text once
+    found = list(groups(list(texts.values())))
+    n_articles = sum(article for article, _ in texts)
+    keys: dict[tuple[bool, str], list[int]] = {}
+    for article, key, members in found:
+        if len(members) >= (max(NOTICE_TEXTS, -(-NOTICE_PERCENT * n_articles // 100)) if article else 2):
+            for p in members:
+                keys.setdefault((article, p.whole), []).append(key)
+    out = {x: p.without(np.array(keys.get(x, []), np.int64)) for x, p in texts.items()}
+    return [out.get((p.article, p.whole), "") for p in parsed]
 
 
 def _stream(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -307,59 +323,111 @@ def _stream(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, np.repeat(np.arange(len(pages)), sizes), np.cumsum([0, *sizes])
 
 
-def _known(page: Page, runs: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(page.words), bool)
-    if len(runs):
-        own = page.runs()
-        out[: len(own)] = runs[np.minimum(np.searchsorted(runs, own), len(runs) - 1)] == own
-    return out
+def groups(pages: list[Page]):
+    """(article, hash of the shared tokens, pages) for the neighbours in the suffix arrays of distinct texts that share
+    MIN_RUN tokens of open text, or a block of articles as a block; groups of one page as well."""
+    articles, opened = ([p for p in pages if p.article == kind] for kind in (True, False))
+    if opened:
+        words, owner, _ = _stream(opened)
+        order, common = suffix_array(words, owner)
+        first, _ = _groups(order, common, owner, MIN_RUN)
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        whole = np.searchsorted(owner, owner[order], "right") - order >= MIN_RUN  # a shorter suffix shares none
+        runs = np.append(K.windows(words, MIN_RUN).astype(np.int64), np.zeros(MIN_RUN, np.int64))
+        yield from ((False, key, [opened[k] for k in members]) for key, members in _members(group[whole], owner[order[whole]], runs[order[whole]]))
+    if articles:
+        words, owner, first = _stream(articles)
+        order, common = suffix_array(words, owner)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        starts = np.concatenate([first[k] + p.edges[:-1] for k, p in enumerate(articles)])
+        sizes, keys = (np.concatenate(x) for x in zip(*((np.diff(p.edges), p.keys) for p in articles), strict=True))
+        for size in np.unique(sizes[sizes >= MIN_RUN]).tolist():
+            some = np.flatnonzero(sizes == size)
+            group = np.searchsorted(np.flatnonzero(common < size), rank[starts[some]], "right")
+            yield from ((True, key, [articles[k] for k in members]) for key, members in _members(group, owner[starts[some]], keys[some]))
+
+
+def _members(group: np.ndarray, page: np.ndarray, key: np.ndarray):
+    """The key and the distinct pages of each group."""
+    if not len(group):
+        return
+    order = np.lexsort((page, group))
+    group, page, key = group[order], page[order], key[order]
+    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    new = np.ones(len(group), bool)
+    new[1:] = (group[1:] != group[:-1]) | (page[1:] != page[:-1])
+    ends = np.append(edges[1:], len(group))
+    for a, b, k in zip(edges.tolist(), ends.tolist(), key[edges].tolist(), strict=True):
+        yield k, page[a:b][new[a:b]].tolist()
 
 
-def _notices(articles: list[Page]) -> list[set[int]]:
-    """The blocks of each article that so many of the articles hold as blocks, by the suffix array of the articles."""
-    out: list[set[int]] = [set() for _ in articles]
-    least = max(NOTICE_TEXTS, -(-NOTICE_PERCENT * len(articles) // 100))
-    if len(articles) < least:
-        return out
-    words, owner, first = _stream(articles)
-    order, common = suffix_array(words, owner)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    blocks = {int(first[k] + p.edges[b]): (k, b, int(p.edges[b + 1] - p.edges[b])) for k, p in enumerate(articles) for b in p.long_blocks()}
-    for start, (k, b, size) in blocks.items():
-        low = high = int(rank[start])
-        while low and common[low] >= size:
-            low -= 1
-        while high + 1 < len(order) and common[high + 1] >= size:
-            high += 1
-        if high - low + 1 >= least:
-            same = [blocks[x] for x in order[low : high + 1].tolist() if x in blocks]
-            if len({i for i, _, n in same if n == size}) >= least:
-                out[k].add(b)
-    return out
+SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
-SCHEMA = "page_id long, url string, text string, n_chars long"
+def _parsed(rows: DataFrame, once: bool) -> DataFrame:
+    """``rows`` (page_id, url, html, host, ...) with (article, whole) instead of the markup; with ``once`` a task leaves
+    out the repeats of a text within a host, and empty ones."""
+
+    def run(batches):
+        seen: set[tuple[str, bool, int]] = set()
+        for batch in batches:
+            pages = [Page.parse(x) for x in batch.column("html").to_pylist()]
+            if once:
+                same = [(h, p.article, hash(p.whole)) for h, p in zip(batch.column("host").to_pylist(), pages, strict=True)]
+                keep = [bool(p.whole) and not (x in seen or seen.add(x)) for x, p in zip(same, pages, strict=True)]
+                batch, pages = batch.filter(pa.array(keep, pa.bool_())), [p for p, k in zip(pages, keep, strict=True) if k]
+            rest = batch.drop_columns("html")
+            found = [pa.array([p.article for p in pages], pa.bool_()), pa.array([p.whole for p in pages], pa.string())]
+            yield pa.RecordBatch.from_arrays([*rest.columns, *found], names=[*rest.schema.names, "article", "whole"])
+
+    left = rows.drop("html").schema
+    return rows.mapInArrow(run, left.add("article", "boolean").add("whole", "string")).withColumn("text", F.xxhash64("whole"))
+
+
+def _shard_groups(texts: DataFrame) -> DataFrame:
+    """(host, article, key, texts): the groups of the suffix arrays of each shard, with the texts that they lie on; and,
+    with a null key, all articles. ``texts``: (host, shard, article, text, whole)."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = texts.select("host", "shard", "article", "text", "whole").repartition(parts, "host", "shard").sortWithinPartitions("host", "shard", "article", "text")
 
+    def run(batches):
+        key, pages = None, {}
 
-def _shared_runs(rows: DataFrame) -> DataFrame:
-    """(host, shard, key): hashes of the open runs that distinct texts of a host of several shards share, for each
-    shard that has them. ``rows``: (host, shard, html)."""
+        def close():
+            ids = {id(p): text for (_, text), p in pages.items()}
+            found = [(article, k, [ids[id(p)] for p in members]) for article, k, members in groups(list(pages.values()))]
+            found.append((True, None, [text for article, text in pages if article]))
+            for k in range(0, len(found), 10_000):
+                some = list(zip(*found[k : k + 10_000], strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key[0]] * len(some[0]), pa.string()), pa.array(some[0], pa.bool_()), pa.array(some[1], pa.int64()), pa.array(some[2], pa.list_(pa.int64()))],
+                    names=["host", "article", "key", "texts"],
+                )
 
-    def scan(batches):
         for batch in batches:
-            for host, shard, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p = Page(page)
-                if not p.article and p.blocks:
-                    keys = np.unique(p.runs())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([host] * len(keys), pa.string()), *(pa.array(np.full(len(keys), x, np.int64)) for x in (shard, p.text)), pa.array(keys)],
-                        names=["host", "shard", "text", "key"],
-                    )
+            for h, s, article, text, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (h, s) != key:
+                    if key is not None:
+                        yield from close()
+                    key, pages = (h, s), {}
+                if (article, text) not in pages:
+                    pages[article, text] = Page(article, whole)
+        if key is not None:
+            yield from close()
+
+    return met.mapInArrow(run, "host string, article boolean, key long, texts array<long>")
+
 
-    found = settle(rows.mapInArrow(scan, "host string, shard long, text long, key long"), "run-hashes")
-    shared = found.groupBy("host", "key").agg(F.min("text").alias("low"), F.max("text").alias("high")).filter("low <> high").select("host", "key")
-    return found.select("host", "shard", "key").distinct().join(shared, ["host", "key"], "left_semi")
+def _repeats(found: DataFrame) -> DataFrame:
+    """(host, article, text, keys): the runs and notices that go from a text. ``found``: the shards' groups; a text is in
+    one shard, so the numbers of texts add up."""
+    articles = found.filter("key is null").groupBy("host").agg(F.sum(F.size("texts")).alias("articles"))
+    merged = found.filter("key is not null").groupBy("host", "article", "key").agg(F.sum(F.size("texts")).alias("n"))
+    merged = merged.filter(F.col("n") >= F.when(F.col("article"), NOTICE_TEXTS).otherwise(2)).join(articles, "host")
+    gone = merged.filter(~F.col("article") | (100 * F.col("n") >= NOTICE_PERCENT * F.col("articles")))
+    members = found.join(gone, ["host", "article", "key"], "left_semi").select("host", "article", "key", F.explode("texts").alias("text"))
+    return members.groupBy("host", "article", "text").agg(F.collect_list("key").alias("keys"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -369,39 +437,15 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host)
     large = settle(rows.groupBy("host").count().filter(F.col("count") > SHARD_PAGES).withColumn("shards", F.ceil(F.col("count") / SHARD_PAGES)), "large-hosts")
-    dealt = rows.join(large.select("host", "shards"), "host", "left")
-    dealt = dealt.withColumn("shard", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("shards")), F.lit(-1)).cast("long"))
-    keys = settle(_shared_runs(dealt.filter("shard >= 0").select("host", "shard", "html")), "shared-runs")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    none = [F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")]
-    first = keys.select("host", "shard", "key", *none)
-    then = dealt.select("host", "shard", F.lit(None).cast("long").alias("key"), "page_id", "url", "html")
-    # in each shard the runs come first: a page has no key
-    met = first.union(then).repartition(parts, "host", "shard").sortWithinPartitions("host", "shard", F.col("key").asc_nulls_last(), "page_id")
+    dealt = _parsed(rows.select("host", "html"), True).join(large.select("host", "shards"), "host", "left")
+    dealt = dealt.withColumn("shard", F.coalesce(F.pmod("text", "shards"), F.lit(0)))
+    repeats = settle(_repeats(settle(_shard_groups(dealt), "shard-groups")), "repeats")
+    met = _parsed(rows, False).join(repeats, ["host", "article", "text"], "left").select("page_id", "url", "article", "whole", "keys")
 
     def run(batches):
-        key, ids, urls, texts, runs = None, [], [], [], []
-
-        def close():
-            found = extract(texts, np.array(runs, np.int64) if runs else None)
-            for k in range(0, len(ids), 500):
-                some = found[k : k + 500]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[k : k + 500], pa.int64()), pa.array(urls[k : k + 500], pa.string()), pa.array(some, pa.string()), pa.array(list(map(len, some)), pa.int64())],
-                    names=["page_id", "url", "text", "n_chars"],
-                )
-
         for batch in batches:
-            for h, s, hashed, page_id, url, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (h, s) != key:
-                    yield from close()
-                    key, ids, urls, texts, runs = (h, s), [], [], [], []
-                if hashed is None:
-                    ids.append(page_id)
-                    urls.append(url)
-                    texts.append(text)
-                else:
-                    runs.append(hashed)
-        yield from close()
+            ids, urls, *rest = batch.columns
+            found = [Page(a, w).without(np.array(k or [], np.int64)) for a, w, k in zip(*(c.to_pylist() for c in rest), strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, urls, pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return met.mapInArrow(run, SCHEMA)

@@ -591,6 +591,25 @@ def test_op10_shards_give_what_one_suffix_array_of_the_host_gives(spark, monkeyp
         assert [x.text for x in htmltext.main_text(df).orderBy("page_id").collect()] == whole
 
 
+def test_op10_notices_are_counted_over_the_whole_host(spark, monkeypatch):
+    most, half, twice = ("please accept all of our terms right here today", "half of the pages hold this line of text", "a page and its copy hold this line of text")
+    pages = []
+    for k in range(100):
+        lines = [prose(30, 700 + k)] + [most] * (k % 100 < 80) + [half] * (k % 100 > 20) + [twice] * (k == 7)
+        pages.append("<article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article>")
+    pages += pages[:30]  # copies count once
+    df = spark.createDataFrame([(k, f"http://h/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    whole = htmltext.extract(pages)
+    assert not any(most in t for t in whole) and sum(half in t for t in whole) == 79 + 9 and sum(twice in t for t in whole) == 2
+    for size in (250, 20, 6):
+        monkeypatch.setattr(htmltext, "SHARD_PAGES", size)
+        assert [x.text for x in htmltext.main_text(df).orderBy("page_id").collect()] == whole
+
+
+def test_op10_short_open_texts_share_no_run():
+    assert htmltext.extract(["<p>one two</p>", "<p>one two three</p>", "", None]) == ["one two", "one two three", "", ""]
+
+
 def test_op10_suffix_array_against_brute_force():
     for seed in range(30):
         r = random.Random(seed)
