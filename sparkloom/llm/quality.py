@@ -1,8 +1,9 @@
 """Quality classifier: random Fourier features of document statistics, ridge regression, isotonic calibration.
 
-The features of a bounded sample of labelled rows go through cosines with random frequencies (an approximate
-Gaussian kernel). Each partition sums its part of the normal equations, one sum per fold; the driver adds the few
-sums and solves them. Scores of left-out folds are calibrated by isotonic regression. Scoring is one narrow pass.
+The features of labelled rows (a bounded sample in ``classify``, all in ``keep_good``) go through cosines with random
+frequencies (an approximate Gaussian kernel). Each partition sums its part of the normal equations, one sum per fold;
+tasks add the sums and the driver solves them. Scores of left-out folds are calibrated by isotonic regression: each
+range of scores is pooled in a task, and the pools of all ranges on the driver. Scoring is one narrow pass.
 
 Defined cases: a null or empty text is scored by its (zero) statistics; a null ``doc_id`` stays null, is not held
 out and never learnt from; a null label is not learnt from; repeated rows are each scored, and kept or rejected, alike;
@@ -21,10 +22,11 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .common import release, settle, small_batches
-from .labelled import held_out, training_sample
+from .decontaminate import add_up
+from .labelled import fold, held_out, training_sample, usable_labels
 from .repetition import line_spans
 
-#: Labelled rows to fit on, about; chosen by a hash of the id.
+#: Labelled rows that ``classify`` fits on, about; chosen by a hash of the id.
 MAX_LABELLED = 30_000
 FREQUENCIES = 160
 #: Kernel width and ridge, for standardised statistics.
@@ -32,7 +34,6 @@ GAMMA = 0.25
 RIDGE = 1e-3
 FIT_FOLDS = 4
 THRESHOLD = 0.3
-SUM_PARTITIONS = 8
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -132,17 +133,31 @@ class Model:
 
 
 def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The non-decreasing least-squares fit, as points to interpolate between (pool adjacent violators)."""
+    """The non-decreasing least-squares fit, as points to interpolate between."""
+    return _points(_pooled(_scores(raw, label)))
+
+
+def _scores(raw: np.ndarray, label: np.ndarray) -> list[tuple[float, float, float]]:
+    """Sum of labels, rows and sum of raw scores of each distinct score, in order."""
     scores, place = np.unique(raw, return_inverse=True)  # equal scores have one value
     rows, ones = np.bincount(place, minlength=len(scores)), np.bincount(place, label, minlength=len(scores))
-    blocks: list[list[float]] = []  # sum of labels, rows, sum of raw scores
-    for r, n, y in zip(scores.tolist(), rows.tolist(), ones.tolist(), strict=True):
-        blocks.append([y, float(n), r * n])
+    return list(zip(ones.tolist(), rows.astype(float).tolist(), (scores * rows).tolist(), strict=True))
+
+
+def _pooled(found: list[tuple[float, float, float]]) -> list[list[float]]:
+    """The blocks with adjacent violators pooled; those of a part of the scores may be pooled on with the others'."""
+    blocks: list[list[float]] = []
+    for block in found:
+        blocks.append(list(block))
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             y1, n1, r1 = blocks.pop()
             blocks[-1][0] += y1
             blocks[-1][1] += n1
             blocks[-1][2] += r1
+    return blocks
+
+
+def _points(blocks: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r / n for _, n, r in blocks]), np.array([(y + 0.5) / (n + 1) for y, n, _ in blocks])
 
 
@@ -153,17 +168,23 @@ def _statistics_batches(batches):
             x = statistics(data, offsets)
             arrays = [batch.column(0).slice(i, j - i), *(c.slice(i, j - i) for c in batch.columns[2:])]
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_STATISTICS), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([*arrays, rows], names=["key", "label", "x"])
+            yield pa.RecordBatch.from_arrays([*arrays, rows], names=["key", *batch.schema.names[2:], "x"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), N_STATISTICS)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int | None = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of about ``bound`` labelled rows, or of all of them."""
     small_batches(docs.sparkSession)
-    sample = training_sample(docs, labels, label, bound, id_col, text_col).select("key", "text", "label")
-    sample = settle(sample.mapInArrow(_statistics_batches, "key long, label int, x array<double>"), "quality-sample")
+    if bound is None:  # the statistics are joined, not the texts
+        rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).filter(fold("key") != 0)
+        sample = rows.mapInArrow(_statistics_batches, "key long, x array<double>").join(usable_labels(labels, label, id_col), "key").select("key", "label", "x")
+    else:
+        rows = training_sample(docs, labels, label, bound, id_col, text_col).select("key", "text", "label")
+        sample = rows.mapInArrow(_statistics_batches, "key long, label int, x array<double>")
+    sample = settle(sample, "quality-sample")
     moments = sample.select(*[F.struct(F.avg(F.col("x")[i]), F.stddev_pop(F.col("x")[i])) for i in range(N_STATISTICS)]).first()
     empty = Model(np.zeros(N_STATISTICS), np.ones(N_STATISTICS), np.zeros(0), np.zeros(0), np.zeros(0))
     if moments is None or moments[0][0] is None:
@@ -181,8 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
                 total[k] += g.T @ np.hstack([g, y[part == k][:, None]])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    parts = folded.coalesce(SUM_PARTITIONS).mapInArrow(sums, "sums binary").collect()
-    total = sum(np.frombuffer(r[0]).reshape(FIT_FOLDS, size, size + 1) for r in parts)
+    total = add_up(folded.mapInArrow(sums, "sums binary"), (FIT_FOLDS, size, size + 1), "<f8")
     ridge = lambda g: np.linalg.solve(g[:, :-1] + RIDGE * max(g[0, 0], 1) * np.eye(size) / size, g[:, -1])
     left_out = np.stack([ridge(total.sum(0) - total[k]) for k in range(FIT_FOLDS)])
     model.weights = ridge(total.sum(0))
@@ -192,8 +212,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
             f, part = model.features(_matrix(batch.column(2))), batch.column(3).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array((f * left_out[part]).sum(1)), batch.column(1)], names=["raw", "label"])
 
-    pairs = folded.mapInArrow(scored, "raw double, label int").toPandas()  # bounded by the sample's bound
-    model.steps, model.values = isotonic(pairs["raw"].to_numpy(), pairs["label"].to_numpy())
+    def pool(batches):
+        table = pa.Table.from_batches(list(batches), pa.schema([("raw", pa.float64()), ("label", pa.int32())]))
+        blocks = _pooled(_scores(table["raw"].to_numpy(), table["label"].to_numpy()))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()) for x in np.array(blocks).reshape(-1, 3).T], names=["ones", "n", "raw"])
+
+    # equal scores are in one range; a range's pools are far fewer than its rows
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = settle(folded.mapInArrow(scored, "raw double, label int"), "quality-scores").repartitionByRange(parts, "raw")
+    blocks = sorted(ranges.mapInArrow(pool, "ones double, n double, raw double").collect(), key=lambda b: b.raw / b.n)
+    model.steps, model.values = _points(_pooled(blocks))
     return model
 
 
@@ -218,8 +246,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not rejected, all columns as they were. One narrow pass after the fit."""
-    model = fit(docs, labels, id_col=id_col, text_col=text_col)
+    """The rows of ``docs`` that are not rejected, all columns as they were, by a model of all labelled rows. One narrow
+    pass after the fit."""
+    model = fit(docs, labels, bound=None, id_col=id_col, text_col=text_col)
     at = docs.columns.index(text_col)
 
     def run(batches):

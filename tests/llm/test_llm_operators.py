@@ -531,6 +531,29 @@ def test_op9_equal_scores_are_pooled():
     assert len(steps) == 2 and np.array_equal(steps, again[0]) and np.array_equal(values, again[1])
 
 
+def test_pipeline_quality_learns_from_all_labelled_rows(spark):
+    docs = spark.range(60_000).withColumnRenamed("id", "doc_id")
+    # of about 48 000 labelled rows, 30 000 are below this share of the hashes; the low quality is among the others
+    below = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(0.63 * (1 << 20))
+    poor = ~below | (F.col("doc_id") % 10 == 0)
+    docs = docs.select("doc_id", F.when(poor, F.lit("# | ! buy | # ! now | ! #")).otherwise(F.concat(F.lit("a plain text of the number "), "doc_id")).alias("text"), below.cast("int").alias("quality"))
+    left = quality.keep_good(docs, docs.select("doc_id", "quality"))
+    assert left.columns == docs.columns
+    assert (left.filter("text like '#%'").count(), left.count()) == (0, docs.filter("text not like '#%'").count())
+
+
+def test_op9_pools_of_ranges_give_what_one_range_gives():
+    rng = np.random.default_rng(8)
+    for ranges in (1, 2, 7, 40):
+        raw = np.round(rng.normal(size=2000), 2)
+        label = (rng.random(2000) < 1 / (1 + np.exp(-raw))).astype(int)
+        edges = np.linspace(-3, 3, ranges - 1) if ranges > 1 else np.zeros(0)
+        part = np.searchsorted(edges, raw)
+        blocks = [b for k in range(ranges) for b in quality._pooled(quality._scores(raw[part == k], label[part == k]))]
+        for got, want in zip(quality._points(quality._pooled(blocks)), quality.isotonic(raw, label), strict=True):
+            assert got.shape == want.shape and np.allclose(got, want)
+
+
 def test_op9_isotonic_is_monotone():
     raw, y = np.random.default_rng(0).normal(size=400), np.random.default_rng(1).integers(0, 2, 400)
     steps, values = quality.isotonic(raw, y)
