@@ -8,6 +8,8 @@ import hmac
 import struct
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import xxhash as _xx
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -336,25 +338,102 @@ def word_shingle(text: Column, n: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-@vectorized("array<long>")
-def minhash_signature(tokens, size):
-    """The least hash of the tokens for each of so many seeds, as signed numbers."""
-    return [signed(min((_xx.xxh64_intdigest(t, seed=k) for t in tokens), default=_M64)) for k in range(size)]
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def _xx64(words: pa.Array, seeds: range) -> np.ndarray:
+    """XXH64 of each text under each seed, as seeds by texts: texts of one length up to 31 bytes at once, by the
+    algorithm's steps on arrays; longer ones one at a time. A null has the greatest hash."""
+    raw = words.cast(pa.large_binary())
+    ends, data = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset :][: len(raw) + 1], np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+    sizes, out = ends[1:] - ends[:-1], np.full((len(seeds), len(raw)), _M64, np.uint64)
+    valid = words.is_valid().to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes[valid]).tolist():
+        at = np.flatnonzero(valid & (sizes == size))
+        if size > 31:
+            for i in at.tolist():
+                word = data[ends[i] : ends[i + 1]].tobytes()
+                out[:, i] = [_xx.xxh64_intdigest(word, seed=k) for k in seeds]
+            continue
+        chars = data[ends[at][:, None] + np.arange(size)]
+        whole = np.ascontiguousarray(chars[:, : size // 8 * 8]).view("<u8")
+        eights = _rotated(whole * _P2, 31) * _P1
+        four = np.ascontiguousarray(chars[:, size // 8 * 8 :][:, :4]).view("<u4")[:, 0].astype(np.uint64) * _P1 if size % 8 > 3 else None
+        ones = chars[:, size // 4 * 4 :].astype(np.uint64) * _P5
+        for row, k in enumerate(seeds):
+            h = np.full(len(at), (k + int(_P5) + size) & _M64, np.uint64)
+            for c in range(eights.shape[1]):
+                h = _rotated(h ^ eights[:, c], 27) * _P1 + _P4
+            if four is not None:
+                h = _rotated(h ^ four, 23) * _P2 + _P3
+            for c in range(ones.shape[1]):
+                h = _rotated(h ^ ones[:, c], 11) * _P1
+            h = (h ^ h >> np.uint64(33)) * _P2
+            h = (h ^ h >> np.uint64(29)) * _P3
+            out[row, at] = h ^ h >> np.uint64(32)
+    return out
+
+
+def _minhashes(tokens: pa.Array, size: int) -> pa.Array:
+    sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    words = tokens.flatten().dictionary_encode(null_encoding="encode")
+    codes, out = words.indices.to_numpy(zero_copy_only=False), np.full((size, len(tokens)), _M64, np.uint64)
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    for k, hashes in enumerate(_xx64(words.dictionary, range(size)) if len(codes) else ()):
+        out[k, sizes > 0] = np.minimum.reduceat(hashes[codes], starts)
+    offsets = np.arange(0, size * len(tokens) + 1, size, dtype=np.int32)
+    return pa.ListArray.from_arrays(offsets, out.T.ravel().view(np.int64), mask=tokens.is_null())
+
+
+def minhash_signature(tokens: Column, size: int) -> Column:
+    """The least hash of the tokens for each of so many seeds, as signed numbers. A batch's unlike tokens are hashed once."""
+
+    def batch(t: pa.Array) -> pa.Array:
+        return _minhashes(t, size)
+
+    return F.arrow_udf(batch, "array<long>")(tokens)
 
 
 def minhash_similarity(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.size(a)
 
 
-@vectorized("long")
-def simhash(text):
+def _simhashes(texts: pa.Array, step: int = 1 << 18) -> pa.Array:
+    sums, held, places = np.zeros((len(texts), 64), np.int64), [], []
+
+    def add():
+        each = pa.array(held, pa.string()).dictionary_encode()
+        ones = np.unpackbits(_xx64(each.dictionary, range(1))[0].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        codes, at = each.indices.to_numpy(), 0
+        for row, n in places:
+            sums[row] += 2 * ones[codes[at : at + n]].sum(axis=0, dtype=np.int64) - n
+            at += n
+        held.clear(), places.clear()
+
+    for row, text in enumerate(texts):
+        words = (text.as_py() or "").split()
+        for at in range(0, len(words), step):  # a long text is summed in pieces
+            part = words[at : at + step]
+            held.extend(part)
+            places.append((row, len(part)))
+            if len(held) >= step:
+                add()
+    if held:
+        add()
+    return pa.array(np.packbits(sums > 0, axis=1, bitorder="little").view("<i8").ravel(), pa.int64(), mask=texts.is_null().to_numpy(zero_copy_only=False))
+
+
+def simhash(text: Column) -> Column:
     """64-bit simhash of the words."""
-    sums = [0] * 64
-    for w in text.split():
-        h = _xx.xxh64_intdigest(w)
-        for k in range(64):
-            sums[k] += 1 if h >> k & 1 else -1
-    return signed(sum(1 << k for k in range(64) if sums[k] > 0))
+
+    def batch(t: pa.Array) -> pa.Array:
+        return _simhashes(t)
+
+    return F.arrow_udf(batch, "long")(text)
 
 
 def simhash_distance(a: Column, b: Column) -> Column:
