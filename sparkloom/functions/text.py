@@ -468,10 +468,10 @@ def custom_order_rank(x: Column, order: list[str], unknown: int = 2**31 - 1) ->
     return F.when(at > 0, at - 1).otherwise(F.lit(unknown))
 
 
-def format_bytes(x: Column) -> Column:
-    """Decimal prefixes: no decimals from 100 on, one from 10 on, else two without trailing zeros."""
-    out = F.concat(x.cast("string"), F.lit(" B"))
-    for k, unit in enumerate(("KB", "MB", "GB", "TB", "PB", "EB"), 1):
+def format_bytes(x: Column, largest: str = "EB") -> Column:
+    """Decimal prefixes up to the largest: no decimals from 100 on, one from 10 on, else two without trailing zeros."""
+    out, units = F.concat(x.cast("string"), F.lit(" B")), ("KB", "MB", "GB", "TB", "PB", "EB")
+    for k, unit in enumerate(units[: units.index(largest) + 1], 1):
         v = x / 1000.0**k
         short = F.regexp_replace(F.format_string("%.2f", v), r"\.?0+$", "")
         shown = F.when(v >= 100, F.format_string("%.0f", v)).when(v >= 10, F.format_string("%.1f", v)).otherwise(short)
