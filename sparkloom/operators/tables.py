@@ -219,16 +219,19 @@ def audit_chain(df: DataFrame, keys: Sequence[str], order: str, payload: Sequenc
     return sorted_rows.mapInPandas(chain, body.drop("_key").schema)
 
 
-def z_order(df: DataFrame, columns: Sequence[str], partitions: int, bits: int = 8) -> DataFrame:
-    """Rows dealt out by interleaved bits of the columns' ranks, so files cover small boxes and footers prune."""
-    bounds = df.agg(*[F.percentile_approx(c, [k / (1 << bits) for k in range(1, 1 << bits)], 10_000).alias(c) for c in columns]).first()
+def z_order(df: DataFrame, columns: Sequence[str], partitions: int, bits: int = 8, most: int = 1_000_000) -> DataFrame:
+    """Rows dealt out by interleaved bits of the columns' ranks, so files cover small boxes and footers prune. There are
+    so many partitions at least, and more where they would have over ``most`` rows; a box of many rows is cut by the
+    columns' values."""
+    bounds = df.agg(F.count("*").alias("_rows"), *[F.percentile_approx(c, [k / (1 << bits) for k in range(1, 1 << bits)], 10_000).alias(c) for c in columns]).first()
     below = lambda c: F.size(F.filter(F.lit(bounds[c]), lambda e: e <= F.col(c)))
     place = [below(c) for c in columns]
     key = F.lit(0).cast("long")
     for b in range(bits):
         for k, p in enumerate(place):
             key = key.bitwiseOR(F.call_function("shiftleft", F.call_function("shiftright", p, F.lit(b)).bitwiseAND(F.lit(1)).cast("long"), F.lit(b * len(columns) + k)))
-    return df.withColumn("_z", key).repartitionByRange(partitions, "_z").sortWithinPartitions("_z").drop("_z")
+    parts = max(partitions, -(-bounds["_rows"] // most))
+    return df.withColumn("_z", key).repartitionByRange(parts, "_z", *columns).sortWithinPartitions("_z").drop("_z")
 
 
 def retained(df: DataFrame, ts: str, days: int, now: Column, hold: Column | None = None) -> DataFrame:
